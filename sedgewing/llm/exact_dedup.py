@@ -1,7 +1,7 @@
 """Exact dedup by a log-structured merge index of text digests (built-in functions only).
 
-A batch of texts is a memtable: it becomes a level-0 run, one row per digest and run, sorted by digest within each file and
-written with Parquet's Bloom filters. Compaction merges the runs of all levels into one and keeps one identifier and the
+A batch of texts is dealt into memtables: they become level-0 runs, one row per digest and run, sorted by run and digest within
+each file and written with Parquet's Bloom filters. Compaction merges the runs of all levels into one and keeps one identifier and the
 number of copies per digest. Digests with more than one row are hits: their texts, and only theirs, are read once more and
 compared byte for byte; should texts of one digest differ, each different text becomes a class of its own.
 
@@ -38,8 +38,9 @@ class DigestIndex:
 
     def _write(self, rows: DataFrame, name: str, *by: str) -> None:
         path = f"{self.path}/{name}"
-        out = rows.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true")
-        (out.partitionBy(*by) if by else out).parquet(path)
+        # the filters are sized by what a run holds: the fixed default of 1 MB a file would outgrow small runs
+        out = rows.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        out.parquet(path)
         self.runs.append(path)
 
     def flush(self, batch: DataFrame) -> None:
