@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgewing.llm import bpe, exact_dedup
+from sedgewing.llm import bpe, exact_dedup, near_dedup
 
-MODULES = (exact_dedup, bpe)
+MODULES = (exact_dedup, bpe, near_dedup)
 
 
 def queries() -> dict:
