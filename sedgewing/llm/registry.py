@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgewing.llm import bpe, exact_dedup, near_dedup
+from sedgewing.llm import bpe, exact_dedup, near_dedup, quality_rules, secret_scan
 
-MODULES = (exact_dedup, bpe, near_dedup)
+MODULES = (quality_rules, secret_scan, exact_dedup, bpe, near_dedup)
 
 
 def queries() -> dict:
