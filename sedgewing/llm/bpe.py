@@ -12,9 +12,11 @@ Null text counts as empty and gives no token; repeated rows give repeated result
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections import ChainMap
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,22 @@ VOCABULARY = "word_bpe_49k.json"
 #: Characters of a pre-token from which the tree is used, and of a leaf.
 LONG, LEAF = 4096, 1024
 #: Chunks that a worker remembers, and the longest of them.
-CACHE, CACHED_BYTES = 300_000, 64
+CACHE, CACHED_BYTES = 600_000, 64
+#: What the short way below is sound for: letters that lower one to one and never compose, then signs without an apostrophe
+#: or a bracket, are two pre-tokens at most.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SIMPLE = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]{1,40})([.,;:!?*$%&#\"()-]{0,8})")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable bytes stand for themselves, the others follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
 SCHEMA = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -57,7 +74,7 @@ class Codec:
 
         from tokenizers import Tokenizer, models
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # its threads double the CPU time of small batches
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -71,6 +88,8 @@ class Codec:
         self.inner = Tokenizer(models.BPE(vocab, merges))
         self.last = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
         self.token = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        steps = spec["pre_tokenizer"]["pretokenizers"]
+        self.plain = spec["normalizer"] == NORMALIZER and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"]["Regex"] == PRE_TOKENS
         self.ids: dict[bytes, bytes] = {}
         self.texts: dict[bytes, bytes] = {}
 
@@ -85,7 +104,8 @@ class Codec:
         """Encoding of one long pre-token in the vocabulary's byte letters."""
         cuts = list(range(0, len(piece), self.leaf))
         leaves = [piece[i : i + self.leaf] for i in cuts]
-        parts = [e.ids for e in self.inner.encode_batch_fast(leaves[:-1], add_special_tokens=False)] + [self._piece(leaves[-1], True)]
+        with ThreadPoolExecutor(4) as pool:
+            parts = [*pool.map(lambda x: self._piece(x, False), leaves[:-1]), self._piece(leaves[-1], True)]
         while len(parts) > 1:
             joined = [join(parts[i], parts[i + 1], self._text, self._piece, i + 2 == len(parts)) for i in range(0, len(parts) - 1, 2)]
             parts = joined + parts[len(joined) * 2 :]
@@ -102,8 +122,6 @@ class Codec:
         return out
 
     def _around_special(self, chunk: str) -> list[str]:
-        import re
-
         return [x for x in re.split("(" + "|".join(map(re.escape, self.special)) + ")", chunk) if x] if self.special else [chunk]
 
     def chunk_ids(self, chunk: str) -> list[int]:
@@ -114,16 +132,31 @@ class Codec:
     def _learn(self, chunks: list[bytes]) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
         """Encodings of new chunks, short ones into the cache, the others returned."""
         words = [c.decode("utf-8", "replace") for c in chunks]
-        short = [i for i, w in enumerate(words) if len(w) <= self.long]
-        found = dict(zip(short, (e.ids for e in self.whole.encode_batch_fast([words[i] for i in short], add_special_tokens=False)), strict=True))
+        parts = [SIMPLE.fullmatch(w) if self.plain else None for w in words]
+        # a word and the signs after it are two pre-tokens, which most chunks share with others
+        plain = {x for m in parts if m for x in (m[1].lower(), m[2]) if x and x.encode() not in self.ids}
+        plain = list(plain)
+        mapped = [x if x.isascii() else "".join([_BYTE_LETTERS[b] for b in x.encode()]) for x in plain]
+        for x, e in zip(plain, self.last.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
+            self._keep(x.encode(), e.ids, self.ids, self.texts)
+        other = [i for i, (m, w) in enumerate(zip(parts, words, strict=True)) if not m and len(w) <= self.long]
+        found = dict(zip(other, (e.ids for e in self.whole.encode_batch_fast([words[i] for i in other], add_special_tokens=False)), strict=True))
         ids, texts = {}, {}
-        for i, (c, w) in enumerate(zip(chunks, words, strict=True)):
-            x = found[i] if i in found else self._long_chunk(w)
-            kept = len(c) <= CACHED_BYTES
-            (self.ids if kept else ids)[c] = struct.pack(f"<{len(x)}I", *x)
-            (self.texts if kept else texts)[c] = " ".join([self.token[i] for i in x]).encode()
+        for i, (c, m, w) in enumerate(zip(chunks, parts, words, strict=True)):
+            if m:
+                a, b = m[1].lower().encode(), m[2].encode()
+                if c != a:
+                    self.ids[c] = self.ids[a] + self.ids[b] if b else self.ids[a]
+                    self.texts[c] = self.texts[a] + b" " + self.texts[b] if b else self.texts[a]
+            else:
+                kept = len(c) <= CACHED_BYTES
+                self._keep(c, found[i] if i in found else self._long_chunk(w), self.ids if kept else ids, self.texts if kept else texts)
         return ids, texts
 
+    def _keep(self, chunk: bytes, x: list[int], ids: dict, texts: dict) -> None:
+        ids[chunk] = struct.pack(f"<{len(x)}I", *x)
+        texts[chunk] = " ".join([self.token[i] for i in x]).encode()
+
     def encode_decode(self, text: bytes) -> tuple[bytes, bytes]:
         """(ids as little-endian 32-bit integers, the decoded text in UTF-8)."""
         chunks = text.split()  # at ASCII white space
