@@ -37,6 +37,10 @@ def powers(n: int, base: int) -> np.ndarray:
     return have[:n]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    return powers(n, _INVERSE)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(31))
     x = x * U(0xBF58476D1CE4E5B9)
