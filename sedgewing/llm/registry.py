@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgewing.llm import bpe, exact_dedup, near_dedup, quality_rules, repeated_spans, secret_scan
+from sedgewing.llm import bpe, exact_dedup, html_text, near_dedup, quality_rules, repeated_spans, secret_scan
 
-MODULES = (quality_rules, secret_scan, exact_dedup, bpe, near_dedup, repeated_spans)
+MODULES = (quality_rules, secret_scan, exact_dedup, bpe, near_dedup, html_text, repeated_spans)
 
 
 def queries() -> dict:
