@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgewing.llm import bpe, exact_dedup, html_text, near_dedup, quality_rules, repeated_spans, secret_scan
+from sedgewing.llm import bpe, exact_dedup, html_text, mixing, near_dedup, quality_rules, repeated_spans, secret_scan, sharding, token_counts
 
-MODULES = (quality_rules, secret_scan, exact_dedup, bpe, near_dedup, html_text, repeated_spans)
+MODULES = (quality_rules, mixing, token_counts, sharding, secret_scan, exact_dedup, bpe, near_dedup, html_text, repeated_spans)
 
 
 def queries() -> dict:
