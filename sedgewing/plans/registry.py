@@ -1,15 +1,19 @@
-"""Queries over the driver's tables and the SQL that each must agree with."""
+"""All queries over the driver's tables and the SQL that each must agree with."""
 
 from __future__ import annotations
 
+import importlib
 
-def queries() -> dict:
-    from sedgewing.plans import records
+MODULES = ("records", "columns", "joins")
 
-    return dict(records.QUERIES)
 
+def _books() -> list:
+    return [importlib.import_module(f"sedgewing.plans.{m}").BOOK for m in MODULES]
+
+
+def queries() -> dict:
+    return {k: f for b in _books() for k, f in b.queries.items()}
 
-def oracle_sql() -> dict[str, str]:
-    from sedgewing.plans import records
 
-    return dict(records.ORACLE)
+def oracle_sql() -> dict[str, str]:
+    return {k: s for b in _books() for k, s in b.oracle.items()}
