@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # fixed values: IUPAC codes and their complements
 IUPAC, COMPLEMENT = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
 
+#: Windows that are cut from one block of a sequence.
+BLOCK = 256
+
 
 def code(base: Column) -> Column:
     """0 to 3 for A, C, G, T, else 4."""
@@ -47,8 +50,14 @@ def error_probability(q: Column) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """All windows of k characters; none if the sequence is shorter."""
-    starts = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))
+    last = F.length(seq) - k + 1
+
+    def block(at: Column) -> Column:
+        # a place in UTF-8 is found by reading from the start: windows are cut from short blocks
+        return F.transform(F.array(F.struct(F.substring(seq, at, F.lit(BLOCK + k - 1)).alias("s"), F.least(F.lit(BLOCK), last - at + 1).alias("n"))), lambda b: F.transform(F.sequence(F.lit(1), b["n"]), lambda i: F.substring(b["s"], i, F.lit(k))))
+
+    blocks = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.flatten(F.transform(blocks, block)))
 
 
 def kmer_number(kmer: Column) -> Column:

@@ -44,13 +44,14 @@ def sums(df: DataFrame, by: list[str], hexa: str, bits: int) -> DataFrame:
 def products(df: DataFrame, by: list[str], hexa: str, prime: int) -> DataFrame:
     """(by, n, checksum): the product of digests modulo a prime, a residue of 0 counting as 1. Each task multiplies what it
     reads per group; the few partial products are then multiplied per group."""
-    names = [*by, hexa]
+    names, width = [*by, hexa], len(by)
+    arrow = pa.schema([*[(c, _arrow(df, c)) for c in by], ("checksum", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch], partial: bool = False) -> Iterator[pa.RecordBatch]:
         have: dict[tuple, list[int]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, value, n = row[: len(by)], row[len(by)], row[len(by) + 1] if partial else 1
+                key, value, n = row[:width], row[width], row[width + 1] if partial else 1
                 if value is None:
                     continue
                 x = int(value, 16) % prime or 1
@@ -59,10 +60,9 @@ def products(df: DataFrame, by: list[str], hexa: str, prime: int) -> DataFrame:
                     have[key][1] += n
                 else:
                     have[key] = [x, n]
-        cols = {c: [k[i] for k in have] for i, c in enumerate(by)}
+        cols = {c: [k[i] for k in have] for i, c in enumerate(arrow.names[:width])}
         cols |= {"checksum": [f"{x:x}" for x, _ in have.values()], "n": [n for _, n in have.values()]}
-        schema = pa.schema([*[(c, _arrow(df, c)) for c in by], ("checksum", pa.string()), ("n", pa.int64())])
-        yield pa.RecordBatch.from_pydict(cols, schema=schema)
+        yield pa.RecordBatch.from_pydict(cols, schema=arrow)
 
     schema = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in by], "checksum string", "n long"])
     part = df.select(*names).mapInArrow(run, schema)

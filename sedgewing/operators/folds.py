@@ -100,15 +100,19 @@ def _letters(trace: Column) -> Column:
 
 def window_error(trace: Column, width: int) -> Column:
     """The most errors (other letters than =) in ``width`` successive operations."""
-    errors = F.transform(_letters(trace), lambda c: (c != "=").cast("int"))
+    all_errors = F.transform(_letters(trace), lambda c: (c != "=").cast("int"))
     state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"), F.lit(0).alias("i"))
 
-    def step(s: Column, e: Column) -> Column:
-        leaves = F.when(s["i"] >= width, F.get(errors, s["i"] - width)).otherwise(F.lit(0))
-        now = s["now"] + e - leaves
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"), (s["i"] + 1).alias("i"))
+    def most(errors: Column) -> Column:
+        def step(s: Column, e: Column) -> Column:
+            leaves = F.when(s["i"] >= width, F.get(errors, s["i"] - width)).otherwise(F.lit(0))
+            now = s["now"] + e - leaves
+            return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"), (s["i"] + 1).alias("i"))
 
-    return F.aggregate(errors, state, step, lambda s: s["most"])
+        return F.aggregate(errors, state, step, lambda s: s["most"])
+
+    # the array is bound once, or each step would compute it anew
+    return F.get(F.transform(F.array(all_errors), most), 0)
 
 
 def last_good_window(trace: Column, width: int, errors: int) -> Column:
