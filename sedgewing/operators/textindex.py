@@ -11,11 +11,18 @@ from sedgewing.operators import ordered
 from sedgewing.scratch import written
 
 
+#: Letters by which suffixes are ranked first.
+HEAD = 16
+
+
 def suffix_array(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, at, rank): the place of each suffix in the order of all; equal suffixes of different texts go by id."""
-    chars = texts.select(F.col(id_col).alias("id"), F.posexplode(F.filter(F.split(text_col, ""), lambda c: c != "")).alias("at", "c"))
-    now = written(chars.select("id", "at", F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long").alias("r")), "suffixes")
-    k = 1
+    letters = F.filter(F.split(text_col, ""), lambda c: c != "")
+    heads = F.transform(F.array(letters), lambda s: F.transform(s, lambda c, i: F.array_join(F.slice(s, i + 1, HEAD), "")))
+    first = written(texts.select(F.col(id_col).alias("id"), F.posexplode(F.flatten(heads)).alias("at", "c")), "heads")
+    names = ordered.running_sum(first.groupBy("c").agg(F.count(F.lit(1)).alias("n")), ["c"], F.col("n"), "r")
+    now = written(first.join(names, "c").select("id", "at", "r"), "suffixes")
+    k = HEAD
     while True:
         after = now.select("id", (F.col("at") - k).alias("at"), F.col("r").alias("r2"))
         pairs = now.join(after, ["id", "at"], "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("long")))
