@@ -6,14 +6,21 @@ only strings of equal anchors need be compared. An anchor that occurs once in th
 
 Contexts. The strings that one occurrence of an anchor owns lie side by side; together they are its context. Contexts are
 first compared as a whole, by hash: where one occurs twice, all its strings are repeated. Of each different context of an
-anchor with several, one copy is then fetched, and its strings are compared with those of the anchor's other contexts by
-offset and hash. Anchors with more than GROUP different contexts give a row per string instead, grouped by hash over all
-tasks, so that no anchor needs to fit into one.
+anchor with several, one copy is then fetched.
+
+Suffix array. A task cuts the contexts of its anchors, some megabytes at a time, into units of UNIT bytes counted from the
+anchors, ranks the units and sorts the suffixes of the sequences of ranks by linear grouping (``suffix_groups``). A string of
+LENGTH bytes holds CORE units whole, so equal strings have suffixes that share CORE ranks and stand side by side in the array;
+the bytes before and behind those units, UNIT - 1 and LENGTH - UNIT * CORE at most, are then compared as they are. A suffix of
+units stands for UNIT strings, which is what makes the array affordable: one of single bytes takes 4 microseconds a byte here,
+2000 CPU seconds a GB of input.
+
+Anchors with more than GROUP different contexts give a row per string instead, grouped by hash over all tasks, so that no
+anchor needs to fit into one.
 
 Texts that are equal as a whole are one text with a number of copies: all their bytes are repeated if they have LENGTH.
 
-The method named for this operator, a suffix array by linear grouping (see README), is in ``suffix_groups``: at the speed of
-Python it cannot meet the limits, so the main path is the one above. Hashes have 64 bits.
+Hashes have 64 bits.
 
 Nulls count as empty; a text shorter than LENGTH loses nothing; rows that repeat an id and text are copies of each other.
 """
@@ -29,12 +36,17 @@ from pyspark.sql import functions as F
 
 from sedgewing.llm.common import KeyFilter, documents, hot_keys, salted_join, saved, text_or_empty
 from sedgewing.llm.exact_dedup import sha256_digest
+from sedgewing.llm.suffix_groups import suffix_order
 from sedgewing.llm.textnum import inverse_powers, mix, running_sum, window_hashes
 
 LENGTH, GRAM = 400, 100
 WINDOW = LENGTH - GRAM + 1
 #: Contexts whose strings one task compares at once; a group of more is cut by the hash of its strings instead.
 GROUP = 8000
+#: Bytes of a unit, units that each string holds whole, and bytes of contexts that form one suffix array.
+UNIT = 32
+CORE = (LENGTH - UNIT + 1) // UNIT
+ARRAY = 2 << 20
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 20
 
@@ -111,24 +123,25 @@ def _long_rows(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """(f, c, d, low, high): an anchor, its context's hash, the text, first and last start of the strings it owns."""
+    """(f, c, d, low, high, back): an anchor, its context's hash, the text, first and last start of the strings it owns, and
+    how far behind the first of them it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for d, text in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), strict=True):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                 p, h = anchors(data)
                 low, high = (np.array(x, np.int64) for x in owned(p, h, len(data)))
                 own = low <= high
-                low, high, h = low[own], high[own], h[own]
+                low, high, h, p = low[own], high[own], h[own], p[own]
                 c = span_hashes(data, low, high + LENGTH)
-                for x, y in zip(out, (h.view(np.int64), c.view(np.int64), np.full(len(h), d, np.int64), low, high), strict=True):
+                for x, y in zip(out, (h.view(np.int64), c.view(np.int64), np.full(len(h), d, np.int64), low, high, p - low), strict=True):
                     x.append(y)
             if out[0]:
-                yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(x), pa.int64()) for k, x in zip(("f", "c", "d", "low", "high"), out, strict=True)})
+                yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(x), pa.int64()) for k, x in zip(("f", "c", "d", "low", "high", "back"), out, strict=True)})
 
-    return texts.select("d", "text").mapInArrow(run, "f long, c long, d long, low long, high long")
+    return texts.select("d", "text").mapInArrow(run, "f long, c long, d long, low long, high long, back long")
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -145,13 +158,13 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def _fetched(texts: DataFrame) -> DataFrame:
-    """(f, n, d, low, back, context) from (d, text, wanted), wanted being (f, n, low, high, place of the anchor)."""
+    """(f, n, d, low, back, context) from (d, text, wanted), wanted being (f, n, low, high, back)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("f", "n", "d", "low", "context")
+        names = ("f", "n", "d", "low", "back", "context")
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             return pa.RecordBatch.from_pydict({k: pa.array(x, pa.binary() if k == "context" else pa.int64()) for k, x in zip(names, cols, strict=True)})
 
         for batch in batches:
@@ -159,14 +172,14 @@ def _fetched(texts: DataFrame) -> DataFrame:
             for d, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py()
                 for w in wanted.as_py():
-                    rows.append((w["f"], w["n"], d, w["low"], raw[w["low"] : w["high"] + LENGTH]))
+                    rows.append((w["f"], w["n"], d, w["low"], w["back"], raw[w["low"] : w["high"] + LENGTH]))
                     size += len(rows[-1][-1])
                     if size > 8 << 20:
                         yield packed(rows)
                         rows, size = [], 0
             yield packed(rows)
 
-    return texts.select("d", "text", "wanted").mapInArrow(run, "f long, n long, d long, low long, context binary")
+    return texts.select("d", "text", "wanted").mapInArrow(run, "f long, n long, d long, low long, back long, context binary")
 
 
 def string_keys(f: int, context: bytes) -> np.ndarray:
@@ -174,26 +187,90 @@ def string_keys(f: int, context: bytes) -> np.ndarray:
     return window_hashes(np.frombuffer(context, dtype=np.uint8), LENGTH) ^ mix(np.array([f], np.int64).view(np.uint64))
 
 
+def _shared_head(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the row before."""
+    apart = rows[1:] != rows[:-1]
+    return np.where(apart.any(axis=1), apart.argmax(axis=1), rows.shape[1])
+
+
+def _levels(kind: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, shared): rows sorted within their kind, and the bytes that each shares with the one before, -1 where a kind begins."""
+    key = np.concatenate([kind.astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
+    order = np.argsort(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), kind="stable")
+    shared = np.full(len(order), -1, dtype=np.int64)
+    if len(order) > 1:
+        same = kind[order][1:] == kind[order][:-1]
+        shared[1:] = np.where(same, _shared_head(rows[order]), -1)
+    return order, shared
+
+
+def _numbers(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """By row: a number of the rows that share so many bytes with it."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(shared < least)
+    return out
+
+
+def repeated_starts(contexts: list[bytes], backs: list[int]) -> list[np.ndarray]:
+    """For each context a flag per start of a string of LENGTH bytes: whether the string starts elsewhere in the contexts, at the
+    same distance from an anchor modulo UNIT."""
+    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    flags = np.zeros(len(data), dtype=bool)
+    first = np.array(backs, dtype=np.int64) % UNIT
+    units = np.maximum(0, (sizes - first) // UNIT)
+    owner = np.repeat(np.arange(len(contexts)), units)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(units) - units, units)
+    place = begin[owner] + first[owner] + UNIT * nth
+    pieces = lambda: [flags[b : b + max(0, n - LENGTH + 1)] for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+    if not len(place):
+        return pieces()
+    _, rank = np.unique(np.ascontiguousarray(data[place[:, None] + np.arange(UNIT)]).view(f"V{UNIT}").ravel(), return_inverse=True)
+    # the sequences of ranks, a number of its own behind each
+    text = np.empty(len(place) + len(contexts), dtype=np.int64)
+    at = np.arange(len(place)) + owner
+    text[at] = rank.ravel() + len(contexts)
+    text[np.cumsum(units) + np.arange(len(contexts))] = np.arange(len(contexts))
+    row = np.full(len(text), -1, dtype=np.int64)
+    row[at] = np.where(units[owner] - nth >= CORE, np.arange(len(place)), -1)
+    array = row[np.array(suffix_order(text.tolist()), dtype=np.int64)]
+    array = array[array >= 0]
+    if len(array) < 2:
+        return pieces()
+    cores = text[at[array][:, None] + np.arange(CORE)]
+    kind = np.concatenate([[0], np.cumsum((cores[1:] != cores[:-1]).any(axis=1))])
+    array, kind = array[np.bincount(kind)[kind] > 1], kind[np.bincount(kind)[kind] > 1]
+    if not len(array):
+        return pieces()
+    start, left, right = place[array], begin[owner[array]], (begin + sizes)[owner[array]]
+    behind = LENGTH - UNIT * CORE
+    before, after = np.minimum(start - left, UNIT - 1), np.minimum(right - start - UNIT * CORE, behind)
+    back, forth = start[:, None] - 1 - np.arange(UNIT - 1), start[:, None] + UNIT * CORE + np.arange(behind)
+    heads = np.where(np.arange(UNIT - 1) < before[:, None], data[np.maximum(back, 0)], 0)
+    tails = np.where(np.arange(behind) < after[:, None], data[np.minimum(forth, len(data) - 1)], 0)
+    by_head, by_tail = _levels(kind, heads), _levels(kind, tails)
+    for e in range(UNIT):  # strings that begin e bytes before the first whole unit
+        fits = np.flatnonzero((before >= e) & (after >= behind - e))
+        both = _numbers(*by_tail, behind - e)[fits] * (len(array) + 1) + _numbers(*by_head, e)[fits]
+        _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
+        flags[start[fits[counts[inverse.ravel()] > 1]] - e] = True
+    return pieces()
+
+
 def _compared(contexts: DataFrame) -> DataFrame:
     """(d, start, end): repeated strings of contexts that occur once, the rows of an anchor standing side by side."""
 
     def flush(rows: list[tuple], out: list[tuple]) -> None:
-        if len(rows) < 2:
-            return
-        keys = [string_keys(r[0], r[4]) for r in rows]
-        sizes = [len(k) for k in keys]
-        _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        twice = counts[inverse] > 1
-        at = 0
-        for r, n in zip(rows, sizes, strict=True):
+        for r, twice in zip(rows, repeated_starts([r[5] for r in rows], [r[4] for r in rows]), strict=True):
             if r[1] == 1:
-                for i, j in zip(*_runs(twice[at : at + n]), strict=True):
+                for i, j in zip(*_runs(twice), strict=True):
                     out.append((r[2], r[3] + int(i), r[3] + int(j) - 1 + LENGTH))
-            at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         out: list[tuple] = []
+        size = 0
 
         def packed() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) if out else [()] * 3
@@ -201,16 +278,18 @@ def _compared(contexts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({k: pa.array(x, pa.int64()) for k, x in zip(("d", "start", "end"), cols, strict=True)})
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if rows and rows[0][0] != row[0]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if size > ARRAY and rows[-1][0] != row[0]:
                     flush(rows, out)
-                    rows = []
+                    rows, size = [], 0
                 rows.append(row)
+                size += len(row[5])
             yield packed()
-        flush(rows, out)
+        if rows:
+            flush(rows, out)
         yield packed()
 
-    return contexts.select("f", "n", "d", "low", "context").mapInArrow(run, "d long, start long, end long")
+    return contexts.select("f", "n", "d", "low", "back", "context").mapInArrow(run, "d long, start long, end long")
 
 
 def _strings(contexts: DataFrame) -> DataFrame:
@@ -246,10 +325,10 @@ def spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[
     shared = saved(found.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f"), "anchors")
     near = KeyFilter(shared, "f", shared.count()).mark(found, "f", "_hit").filter("_hit").drop("_hit")
     # one row of each different context, the copy with the least (d, low)
-    contexts = saved(near.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "low", "high")).alias("at")), "contexts")
+    contexts = saved(near.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "low", "high", "back")).alias("at")), "contexts")
     per_anchor = saved(contexts.groupBy("f").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).filter("m > 1 AND open = 1").select("f", (F.col("m") > group).alias("hot")), "open-anchors")
     wanted = saved(contexts.join(per_anchor, "f").select("f", "n", "hot", "at.*"), "wanted")
-    by_text = wanted.groupBy("d").agg(F.collect_list(F.struct("f", "n", "low", "high")).alias("wanted"))
+    by_text = wanted.groupBy("d").agg(F.collect_list(F.struct("f", "n", "low", "high", "back")).alias("wanted"))
     holders = KeyFilter(wanted, "d", wanted.count()).mark(texts, "d", "_hit").filter("_hit").select("d", "text")
     fetched = _fetched(holders.join(by_text, "d"))
     is_hot = saved(per_anchor.filter("hot").select("f"), "hot-anchors")
