@@ -27,12 +27,14 @@ def checked(records: DataFrame, length: Column, max_length: int) -> DataFrame:
     return records.filter(ok)
 
 
-def mark_streaming(records: DataFrame, part: str, max_length: int) -> DataFrame:
+def mark_streaming(records: DataFrame, part: str, max_length: int, idle_ms: int | None = None) -> DataFrame:
     """(part, rank, name, is_dup) from a stream (part, ref_id, pos, coord, orient, paired, score, name, rank).
 
     ``part`` deals the stream into groups that are in coordinate order each (a library, a range of references). Pairs of one key keep the
     highest score, ties the smaller name; fragments lose where the key has a pair, else keep the highest score, ties the
-    first. Rows leave when the frontier has passed them, so that state is bounded by the records within ``max_length``."""
+    first. Rows leave when the frontier has passed them, so that state is bounded by the records within ``max_length``. What the
+    frontier has not passed stays held; with ``idle_ms`` a part without records for so long is closed (such a stream runs on
+    until it is stopped)."""
     schema = f"{part} long, rank long, name string, is_dup boolean"
     state_schema = "ref long, pos long, held string"
 
@@ -75,10 +77,11 @@ def mark_streaming(records: DataFrame, part: str, max_length: int) -> DataFrame:
                 ref, pos = here
                 rows.append([here[0], int(r.coord), str(r.orient), bool(r.paired), int(r.score), str(r.name), int(r.rank)])
             state.update((ref, pos, json.dumps(rows)))
-            state.setTimeoutDuration(60_000)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({part: [key[0]] * len(out), "rank": [x[0] for x in out], "name": [x[1] for x in out], "is_dup": [x[2] for x in out]})
 
-    return records.groupBy(part).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return records.groupBy(part).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
