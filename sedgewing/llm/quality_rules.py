@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade (built-in functions only).
 
-The base measures of a text are columns. The rules are predicates over them and over the text; on a sample of at most
-SAMPLE rows each rule's rejection rate is counted and its cost is timed, and the rules are ordered by rejections per second.
+The base measures of a text are columns. The rules are predicates over them and over the text; on a sample of about
+SAMPLE rows, drawn evenly from all, each rule's rejection rate is counted and its cost is timed, and the rules are ordered by rejections per second.
 One CASE then tries them in that order and stops at the first that rejects. The order changes the cost, never the verdict.
 
 Null and empty texts have no word and fail the base rule. Repeated rows are judged each for itself; an empty table gives an
@@ -88,9 +88,11 @@ def rules() -> dict[str, Column]:
     }
 
 
-def ordered_rules(measured: DataFrame, found: dict[str, Column], sample: int = SAMPLE) -> list[str]:
-    """Names of the rules, the most rejections per second first; a rule that rejects none comes last, the cheapest first."""
-    few = measured.limit(sample).select("text", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").cache()
+def ordered_rules(docs: DataFrame, id_col: str, text_col: str, found: dict[str, Column], sample: int = SAMPLE) -> list[str]:
+    """Names of the rules, the most rejections per second first; a rule that rejects none comes last, the cheapest first. Every
+    task keeps its own rows of the sample, which are not moved."""
+    share = min(1.0, sample / max(1, docs.count()))
+    few = measures(docs.sample(share, seed=1) if share < 1 else docs, id_col, text_col).select("text", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").cache()
     try:
         few.count()
         none = F.sum(F.lit(0)).alias("r")
@@ -117,7 +119,7 @@ def cascade(found: dict[str, Column], order: list[str]) -> Column:
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """id, the base measures, base_failed and kept."""
     found = rules()
-    order = ordered_rules(measures(docs.sample(0.05, seed=1) if sample else docs, id_col, text_col), found, sample) if sample else list(found)
+    order = ordered_rules(docs, id_col, text_col, found, sample) if sample else list(found)
     out = measures(docs, id_col, text_col)
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), cascade(found, order).isNull().alias("kept")
@@ -127,7 +129,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """docs without the rejected rows, all columns kept, in one pass and without a shuffle."""
     found = rules()
-    order = ordered_rules(measures(docs.sample(0.05, seed=1), id_col, text_col), found, sample)
+    order = ordered_rules(docs, id_col, text_col, found, sample) if sample else list(found)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), F.col(text_col).alias("text"))
     return measures(rows, "id", "text").filter(cascade(found, order).isNull()).select("id.*")
 
