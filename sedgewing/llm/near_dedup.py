@@ -273,9 +273,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with one row of each class, all columns kept; rows that share the id of a lost row are told apart by their set,
     so ids must be unique. Only rows that may have lost are shuffled."""
     lost = saved(verdicts(docs, id_col, text_col, size, numerator, denominator).filter("NOT kept").select(F.col(id_col).alias("_lost")), "lost")
-    marked = KeyFilter(lost, "_lost", lost.count()).mark(docs.withColumn("_own", F.col(id_col).cast("long")), "_own", "_hit")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_own"))
+    marked = KeyFilter(lost, "_lost", lost.count()).mark(rows, "_own", "_hit")
     stays = marked.filter("_hit").join(lost, F.col("_own").eqNullSafe(F.col("_lost")), "left_anti")
-    return marked.filter(~F.col("_hit")).unionByName(stays).select(*docs.columns)
+    return marked.filter(~F.col("_hit")).unionByName(stays).select("_row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ size is a parameter and not the data's, so it can be broadcast; a row's place is
 
 A null key counts as empty; equal keys share a shard. Where ``spread`` columns are given, rows are placed by the key and those
 columns together, so that one key with very many rows is dealt over the shards. An empty table gives an empty result; other
-columns are kept by ``sharded``.
+columns are kept by ``sharded``, but those named as its own two, which are replaced.
 """
 
 from __future__ import annotations
@@ -64,8 +64,10 @@ def table_rows(spark: SparkSession, table: list[int]) -> DataFrame:
 def sharded(rows: DataFrame, key: str, names: list[str] | None = None, slots: int = SLOTS, weights: list[int] | None = None, spread: tuple[str, ...] = (), shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """rows with their slot and shard (the place of its name in ``names``), by a broadcast lookup and without a shuffle."""
     names = names or [f"shard-{i:05d}" for i in range(SHARDS)]
-    lookup = table_rows(rows.sparkSession, lookup_table(names, slots, weights)).withColumnRenamed("shard", shard_col).withColumnRenamed("slot", slot_col)
-    return rows.withColumn(slot_col, slot_of([F.col(key), *map(F.col, spread)], slots)).join(F.broadcast(lookup), slot_col)
+    lookup = table_rows(rows.sparkSession, lookup_table(names, slots, weights)).withColumnsRenamed({"slot": "_slot", "shard": "_shard"})
+    place = slot_of([F.col(key), *map(F.col, spread)], slots)
+    wrapped = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in (shard_col, slot_col)]).alias("_row"), place.alias("_slot"))
+    return wrapped.join(F.broadcast(lookup), "_slot").select("_row.*", F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col))
 
 
 def write_shards(rows: DataFrame, path: str, key: str, names: list[str] | None = None, files: int = 1, **options) -> None:
