@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "columns", "joins", "aggregates", "orders", "graphs", "texts", "streams")
+MODULES = ("records", "columns", "joins", "aggregates", "orders", "graphs", "texts", "streams", "more")
 
 
 def _books() -> list:

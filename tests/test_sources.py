@@ -79,3 +79,61 @@ def test_length_bound(spark):
     assert dedup.checked(df, F.col("n"), 5).count() == 1
     with pytest.raises(Exception, match="longer than the bound"):
         dedup.checked(df, F.col("n"), 4).collect()
+
+
+def test_bam_round_trip(spark, tmp_path):
+    from sedgewing.sources import bam, formats
+
+    refs = [("chr1", 1000), ("chr2", 500)]
+    data = [(f"r{i}", 99, i % 2, i * 3, 30, 0, "4M1I3S", -1, -1, i - 50, "ACGTNACG", "IIIIIII!" if i % 3 else "*", {"NM": f"i:{i}", "XA": "A:c", "XZ": "Z:a b", "XB": "B:s,1,-2", "XF": "f:0.5"}) for i in range(3000)]
+    schema = "name string, flags int, ref_id int, pos int, mapq int, bin int, cigar string, next_ref_id int, next_pos int, tlen int, seq string, qual string, tags map<string,string>"
+    df = spark.createDataFrame(data, schema).coalesce(1)
+    content = bam.as_files(df, refs).first()[0]
+    (tmp_path / "a.bam").write_bytes(content)
+    got = formats.read(spark, "bam", str(tmp_path / "a.bam"))
+    assert got.filter("validity IS NOT NULL").isEmpty()
+    rows = [tuple(r) for r in got.orderBy("rank").select(*df.columns).collect()]
+    assert rows == data
+    assert [tuple(r)[1:] for r in bam.read_bam_references(spark, str(tmp_path / "a.bam")).collect()] == [(0, "chr1", 1000), (1, "chr2", 500)]
+    near = formats.read(spark, "bam", str(tmp_path / "a.bam"), "chr2:100-110")
+    assert sorted(r["pos"] for r in near.select("pos").collect()) == sorted(d[3] for d in data if d[2] == 1 and d[3] + 4 > 99 and d[3] <= 110)
+    import gzip
+
+    assert gzip.decompress(content)[:4] == b"BAM\x01"
+
+
+def test_record_validity():
+    import struct
+
+    from sedgewing.sources import bam
+
+    good = {"name": "r", "flags": 0, "ref_id": 0, "pos": 1, "mapq": 0, "cigar": "4M", "next_ref_id": -1, "next_pos": -1, "tlen": 0, "seq": "ACGT", "qual": "IIII", "tags": {}}
+    code = lambda **x: bam.decode(bam.encode(good | x)[4:])[-1]
+    assert code() is None and code(qual="*") is None and code(flags=4, cigar="*") is None
+    assert code(cigar="3M") == "cigar_is_inconsistent_with_sequence_length"
+    assert code(name="a b") == "queryname_contains_illegal_symbols" and code(name="") == "queryname_empty"
+    assert code(pos=-2) == "invalid_mapping_position" and code(next_pos=-2) == "invalid_next_mapping_position" and code(tlen=-(1 << 31)) == "invalid_tlen"
+    raw = bam.encode(good)[4:]
+    assert bam.decode(raw[:20])[-1] == "block_too_small" and bam.decode(raw[:-5])[-1] == "sequence_extends_over_block" and bam.decode(raw[:-1])[-1] == "quality_extends_over_block"
+    assert bam.decode(raw + b"XXq1")[-1] == "invalid_auxiliary_data"
+    assert bam.decode(raw[:-1] + b"\x60")[-1] == "invalid_quality_value"
+    assert bam.decode(raw[:12] + struct.pack("<H", 60000) + raw[14:])[-1] == "cigar_extends_over_block"
+
+
+def test_formats(spark):
+    from sedgewing.sources import formats
+
+    with pytest.raises(NotImplementedError):
+        formats.read(spark, "cram", "x")
+    for kind in ("sam", "odd"):
+        with pytest.raises(ValueError):
+            formats.read(spark, kind, "x", "chr1")
+    assert formats.merged_references([[("a", 1), ("c", 3)], [("b", 2), ("c", 3)]]) == ([("a", 1), ("b", 2), ("c", 3)], True)
+    assert formats.merged_references([[("a", 1), ("b", 2)], [("b", 2), ("a", 1)]]) == ([("a", 1), ("b", 2)], False)
+    with pytest.raises(ValueError):
+        formats.merged_references([[("a", 1)], [("a", 2)]])
+    one = spark.createDataFrame([(0, 5, 0), (-1, -1, 1)], "ref_id int, pos int, rank int")
+    two = spark.createDataFrame([(0, 5, 0), (0, 3, 1)], "ref_id int, pos int, rank int")
+    assert [(r["ref_id"], r["pos"], r["input"]) for r in formats.merged([one, two], "coordinate").collect()] == [(0, 3, 1), (0, 5, 0), (0, 5, 1), (-1, -1, 0)]
+    heads = spark.createDataFrame([("g", 0), ("g", 1), ("h", 1)], "id string, input int")
+    assert sorted(r["new_id"] for r in formats.renamed_groups(heads).collect()) == ["g_0", "g_1", "h"]
