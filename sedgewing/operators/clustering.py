@@ -60,6 +60,27 @@ def kmeans(df: DataFrame, vector: str, k: int, seed: int = 1, restarts: int = 1,
     return best
 
 
+def rephred(counts: dict[int, int], k: int, rounds: int = 100) -> dict[int, int]:
+    """A coarser table of Phred values: the error probabilities of a histogram of qualities (94 values at most) are put into k
+    clusters by their weights, and each value becomes that of its cluster's mean error."""
+    import math
+
+    points = sorted((10 ** (-q / 10), n, q) for q, n in counts.items() if n > 0)
+    if not points:
+        return {}
+    k = min(k, len(points))
+    centres = [points[len(points) * (2 * i + 1) // (2 * k)][0] for i in range(k)]
+    for _ in range(rounds):
+        groups: dict[int, list] = {}
+        for x in points:
+            groups.setdefault(min(range(k), key=lambda i: abs(centres[i] - x[0])), []).append(x)
+        now = [sum(p * n for p, n, _ in groups[i]) / sum(n for _, n, _ in groups[i]) if i in groups else centres[i] for i in range(k)]
+        if now == centres:
+            break
+        centres = now
+    return {q: round(-10 * math.log10(centres[min(range(k), key=lambda i: abs(centres[i] - p))])) for p, _, q in points}
+
+
 def silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     """One row (silhouette, points): the mean over all points of (b - a) / max(a, b), a being the mean squared distance to the own
     cluster, the point itself included, b the least mean to another. A mean squared distance follows from a cluster's moments,

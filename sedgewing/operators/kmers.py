@@ -110,6 +110,23 @@ def adapter_hits(reads: DataFrame, adapters: DataFrame, id_col: str, seq_col: st
     return out.filter((F.col("score") >= min_score) & (F.col("frac") >= min_fraction) & (F.col("pfrac") >= min_overlap_fraction))
 
 
+def suffix_prefix(reads: DataFrame, id_col: str, seq_col: str, seed: int = 21, match: int = 1, mismatch: int = -3, both_strands: bool = False) -> DataFrame:
+    """(a, b, strand, at, length, score): the best overlap of an end of a with a start of b (turned round for strand 1), among
+    those that begin with an equal seed. Only first windows of b are joined, so a read gives one row there."""
+    r = reads.select(F.col(id_col).alias("b"), F.col(seq_col).alias("_b"), F.lit(0).alias("strand"))
+    if both_strands:
+        r = r.unionByName(reads.select(F.col(id_col).alias("b"), S.reverse_complement(F.col(seq_col)).alias("_b"), F.lit(1).alias("strand")))
+    heads = r.filter(F.length("_b") >= seed).withColumn("kmer", F.substring("_b", 1, seed))
+    found = windows(reads, id_col, seq_col, seed).withColumnRenamed(id_col, "a").join(heads, "kmer").filter("a <> b")
+    found = found.join(reads.select(F.col(id_col).alias("a"), F.col(seq_col).alias("_a")), "a")
+    size = F.length("_a") - F.col("at")
+    found = found.filter(size <= F.length("_b")).withColumn("length", size)
+    apart = hamming(F.substring(F.col("_a"), F.col("at") + 1, F.col("length")), F.substring(F.col("_b"), F.lit(1), F.col("length")))
+    found = found.withColumn("score", match * (F.col("length") - apart) + mismatch * apart).filter("score > 0")
+    best = F.max_by(F.struct("at", "length", "score"), F.struct("score", "length"))
+    return found.groupBy("a", "b", "strand").agg(best.alias("_x")).select("a", "b", "strand", "_x.at", "_x.length", "_x.score")
+
+
 def copies_in_windows(df: DataFrame, id_col: str, seq_col: str, k: int, width: int) -> DataFrame:
     """(id, at, copies): how often the k-mer at a place occurs in the next ``width`` places."""
     from pyspark.sql import Window

@@ -194,3 +194,58 @@ def primary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = singles.select(F.lit("primary").alias("kind"))
     other = alignments(spark, sf_dir).filter("(flags & 2304) <> 0").select(F.lit("other").alias("kind"))
     return n.unionByName(other).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@BOOK.add("""
+    WITH r AS (SELECT item_id * 1000 + i AS id, substr(text, CAST(i + 1 AS INTEGER), 60) AS s FROM (SELECT item_id, text, unnest(range(0, length(text) - 59, 25)) AS i FROM benchmark)),
+    m AS (SELECT a.id AS a, b.id AS b, a.s AS x, b.s AS y, unnest(range(21, 61)) AS n FROM r a JOIN r b ON a.id <> b.id WHERE contains(a.s, substr(b.s, 1, 21))),
+    c AS (SELECT a, b, n, len(list_filter(range(1, n + 1), lambda k: substr(x, CAST(60 - n + k AS INTEGER), 1) <> substr(y, CAST(k AS INTEGER), 1))) AS d FROM m WHERE substr(x, CAST(61 - n AS INTEGER), 21) = substr(y, 1, 21))
+    SELECT a, b, max(n - 4 * d) AS score FROM c WHERE n - 4 * d > 0 GROUP BY a, b""")
+def suffix_prefix_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(sequences.shreds(F.col("text"), 60, 25)).alias("_s"))
+    reads = b.select((F.col("item_id") * 1000 + F.col("_s.start")).alias("id"), F.col("_s.piece").alias("seq"))
+    return kmers.suffix_prefix(reads, "id", "seq").select("a", "b", F.col("score").cast("long").alias("score"))
+
+
+@BOOK.add(f"SELECT rank, CAST(ce + ce2 AS INTEGER) AS matches, CAST(cx AS INTEGER) AS mismatches, CAST(ci AS INTEGER) AS insertions, CAST(cd AS INTEGER) AS deletions FROM {_A}")
+def trace_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgewing.functions.cigar import to_trace
+    from sedgewing.operators.aligners import trace_statistics as statistics
+
+    s = statistics(to_trace(F.col("cigar")))
+    return alignments(spark, sf_dir).select("rank", *[s[c].alias(c) for c in ("matches", "mismatches", "insertions", "deletions")])
+
+
+@BOOK.add(f"SELECT rank FROM {_A} ORDER BY CAST(substr(name, 2) AS BIGINT), CASE WHEN lib = 0 THEN NULL ELSE lib END NULLS FIRST, CASE WHEN (flags & 64) <> 0 THEN 0 ELSE 1 END, flags & 2304, rank LIMIT 300")
+def name_hit_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.when(F.col("lib") != 0, F.col("lib"))
+    return alignments(spark, sf_dir).orderBy(*names.name_hit_order(F.col("name"), F.col("flags"), hit), "rank").select("rank").limit(300)
+
+
+@BOOK.add("WITH s AS (SELECT o_custkey % 50 AS grp, o_orderkey AS id, o_orderkey % 997 AS start, o_orderkey % 997 + o_custkey % 5 AS stop FROM orders) SELECT a.id FROM s a WHERE a.id % 2 = 0 AND EXISTS (SELECT 1 FROM s b WHERE b.id % 2 = 1 AND a.grp = b.grp AND a.start <= b.stop AND b.start <= a.stop)")
+def overlapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    s = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("grp"), k.alias("id"), (k % 997).alias("start"), (k % 997 + F.col("o_custkey") % 5).alias("stop"))
+    return intervals.range_join(s.filter("id % 2 = 0"), s.filter("id % 2 = 1"), ["grp"], 16, "left_semi").select("id")
+
+
+@BOOK.add()
+def noisy_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgewing.operators.simulate import noisy
+
+    reads = table(spark, sf_dir, "part").select("p_partkey", F.repeat(F.lit("ACGT"), 25).alias("seq"))
+    n = noisy(reads, "p_partkey", "seq", 0.05, 0.02, 0.02)
+    return n.select("p_partkey", F.length("noisy").alias("length"), F.levenshtein("seq", "noisy").alias("edits"))
+
+
+@BOOK.add()
+def stream_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fragments of their users, replayed behind a frontier; what it has not passed stays held."""
+    from sedgewing.plans.streams import _replayed
+    from sedgewing.streaming.dedup import mark_streaming
+
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    rows = e.select(F.col("user_id").alias("part"), F.lit(0).alias("ref_id"), at.alias("pos"), (F.floor(at / 3600) * 3600).cast("long").alias("coord"), F.col("event_type").alias("orient"), F.lit(False).alias("paired"), F.round("value").cast("long").alias("score"), F.col("event_id").cast("string").alias("name"), F.col("event_id").alias("rank"))
+    return _replayed(spark, mark_streaming(rows, "part", 7200), "marked").groupBy("is_dup").agg(F.count(F.lit(1)).alias("n"))

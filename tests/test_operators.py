@@ -272,3 +272,28 @@ def test_overlaps(spark):
     t = spark.createDataFrame([(1, 2, False, 95, 230, 7, 140, [(1, 5), (2, 98), (0, 30)])], "aread long, bread long, inv boolean, abpos int, aepos int, bbpos int, bepos int, trace array<struct<err:int,blen:int>>")
     assert rows(overlaps.trace_points(t, 100), "apos", "bpos") == [(95, 7), (100, 12), (200, 110), (230, 140)]
     assert t.select(overlaps.trace_fits(F.col("trace"), F.col("bbpos"), F.col("bepos"))).first()[0]
+
+
+def test_draws(spark):
+    from sedgewing.operators import simulate
+
+    d = spark.range(20_000).select(simulate.uniform(F.col("id")).alias("u"), simulate.normal(5.0, 2.0, F.col("id")).alias("n"), simulate.poisson(3.0, F.col("id")).alias("p"))
+    u, n, s, p = d.agg(F.avg("u"), F.avg("n"), F.stddev("n"), F.avg("p")).first()
+    assert abs(u - 0.5) < 0.01 and abs(n - 5) < 0.06 and abs(s - 2) < 0.06 and abs(p - 3) < 0.05
+    pairs = spark.createDataFrame([(k, r) for k in range(2000) for r in (1, 2)], "k int, r int")
+    kept = simulate.subsample(pairs, "k", 1, 4)
+    assert 700 < kept.count() < 1300 and kept.groupBy("k").count().filter("count <> 2").isEmpty()
+    with pytest.raises(ValueError):
+        simulate.subsample(pairs, "k", 2, 1)
+    same = spark.createDataFrame([(1, "ACGTACGT")], "k int, s string")
+    assert simulate.noisy(same, "k", "s", 0, 0, 0).first()["noisy"] == "ACGTACGT"
+
+
+def test_rephred():
+    got = clustering.rephred({2: 10, 3: 10, 30: 100, 31: 100, 40: 50}, 2)
+    assert set(got) == {2, 3, 30, 31, 40} and len(set(got.values())) == 2 and got[30] == got[31] == got[40]
+
+
+def test_suffix_prefix(spark):
+    df = spark.createDataFrame([(1, "TTTTTACGTACGTAA"), (2, "ACGTACGTAAGGGGG"), (3, "CCCCCCCCCCCCCCC")], "id long, s string")
+    assert rows(kmers.suffix_prefix(df, "id", "s", 6), "a", "b", "at", "length", "score") == [(1, 2, 5, 10, 10)]
