@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewing.llm.common import documents, text_or_empty
+from sedgewing.llm.common import documents, small_batches, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a pre-token from which the tree is used, and of a leaf.
@@ -202,6 +202,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
                 cols |= {"ids": pa.array(ids, pa.list_(pa.int64())), "decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(cols)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     out = rows.mapInArrow(run, SCHEMA + (", ids array<long>, decoded string" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ HOT_SHARE = 1024
 HOT_SALTS = 64
 #: log2 of the bits of the largest key filter: 32 MB, whatever the input.
 MAX_FILTER_BITS = 28
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +41,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most from here on in this session, unless it has smaller ones: the JVM and Python hold a
+    batch several times, which with the default of 64 MB is much of a small executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch("([0-9]+)([bkmg]?)b?", str(spark.conf.get(key, "64m")).lower())
+    if not now or int(now[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[now[2]] > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

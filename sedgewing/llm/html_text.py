@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewing.llm.common import hot_keys, salted_join, saved
+from sedgewing.llm.common import hot_keys, salted_join, saved, small_batches
 
 #: Pages on which a node must have had one text to be template.
 MIN_PAGES = 3
@@ -558,7 +558,7 @@ def _slots_of(root: Element, top: Slot, wanted: list[Element]) -> dict[int, Slot
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """id, url, text and n_chars of each row of pages."""
-    spark = pages.sparkSession
+    small_batches(pages.sparkSession)
     found = saved(wrappers(pages, url_col, html_col), "wrappers")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     total = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewing.llm.common import KeyFilter, documents, hot_keys, salted_join, saved, text_or_empty
+from sedgewing.llm.common import KeyFilter, documents, hot_keys, salted_join, saved, small_batches, text_or_empty
 from sedgewing.llm.components import components
 from sedgewing.llm.textnum import U, mix, shingles, word_hashes
 
@@ -233,6 +233,7 @@ def _confirmed(rows: DataFrame, size: int, numerator: int, denominator: int) ->
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100, region: int = REGION) -> DataFrame:
     """(id, n_shingles, component_id, k) of each row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = saved(signed(docs, id_col, text_col, size), "signatures")
     nodes = saved(rows.filter("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewing.llm.common import KeyFilter, documents, hot_keys, salted_join, saved, text_or_empty
+from sedgewing.llm.common import KeyFilter, documents, hot_keys, salted_join, saved, small_batches, text_or_empty
 from sedgewing.llm.exact_dedup import sha256_digest
 from sedgewing.llm.suffix_groups import suffix_order
 from sedgewing.llm.textnum import inverse_powers, mix, running_sum, window_hashes
@@ -319,6 +319,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """((d, spans) of each different text with repeated strings, (digest) of the texts that occur as a whole more than once)."""
+    small_batches(docs.sparkSession)
     copies = saved(_long_rows(docs, text_col).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "copies")
     texts = _distinct(docs, text_col, copies, copies.count())
     found = saved(_occurrences(texts), "occurrences")

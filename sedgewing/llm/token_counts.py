@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewing.llm.common import documents, text_or_empty
+from sedgewing.llm.common import documents, small_batches, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
 SHIFT = 20
@@ -160,6 +160,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             words += map(len, block)
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_pretokens": pa.array(words, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "id long, n_pretokens long, n_tokens long").withColumnRenamed("id", id_col)
 
