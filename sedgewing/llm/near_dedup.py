@@ -12,8 +12,9 @@
 
 A pair at the threshold of 0.8 is missed by one order with probability below 0.6 (prefix of 4), by all 24 with 3 in a million.
 
-Nulls and empty texts have no set and are linked with nothing. Rows of one set (copies, or repeated ids) share one class,
-named by the least id in it; null ids lose against others. An empty table gives an empty result; other columns are not read.
+Nulls and empty texts have no set and are linked with nothing. Rows of one set share one class, named by the least id in it;
+null ids lose against others. Rows are told apart by id and by a 64-bit hash of the text, so null and repeated ids over
+different texts are rows of their own; of equal ids in a class the text of the least hash wins. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewing.llm.common import KeyFilter, documents, hot_keys, salted_join, saved, small_batches, text_or_empty
@@ -61,13 +62,17 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield first, h, b
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(text_col))
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, k, n, sig) of each row; k and sig are null where there is no word."""
+    """(id, t, k, n, sig) of each row; t is a hash of the text, k and sig are null where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts, sigs = [], [], []
-            for _, h, b in _sets(batch.column(1), size):
+            for _, h, b in _sets(batch.column(2), size):
                 filled = np.flatnonzero(np.diff(b) > 0)
                 sig = signature(h, b[:-1][filled]) if len(filled) else None
                 row = dict(zip(filled.tolist(), range(len(filled)), strict=True))
@@ -81,10 +86,10 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                         keys.append(None)
                         counts.append(0)
                         sigs.append(None)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "k": pa.array(keys, pa.int64()), "n": pa.array(counts, pa.int64()), "sig": pa.array(sigs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "t": batch.column(1), "k": pa.array(keys, pa.int64()), "n": pa.array(counts, pa.int64()), "sig": pa.array(sigs, pa.binary())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, k long, n long, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("t"), text_or_empty(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "id long, t long, k long, n long, sig binary")
 
 
 def _ordered(nodes: DataFrame) -> DataFrame:
@@ -231,15 +236,17 @@ def _confirmed(rows: DataFrame, size: int, numerator: int, denominator: int) ->
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100, region: int = REGION) -> DataFrame:
-    """(id, n_shingles, component_id, k) of each row of docs."""
+    """(id, t, n_shingles, component_id, k, copies, best) of each row of docs; best: the row is the one that its class keeps, or
+    repeats it in id and text."""
     spark = docs.sparkSession
     small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = saved(signed(docs, id_col, text_col, size), "signatures")
-    nodes = saved(rows.filter("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("t").alias("t"))  # the least is kept
+    nodes = saved(rows.filter("k IS NOT NULL").groupBy("k").agg(F.min(place).alias("w"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     regions = saved(components(_bound(_ordered(nodes), partitions)), "regions")
     bound = regions.unionByName(regions.select(F.col("root").alias("node"), "root").distinct())
-    members = saved(bound.withColumnRenamed("node", "k").join(nodes.select("k", "least", "n"), "k"), "members")
+    members = saved(bound.withColumnRenamed("node", "k").join(nodes.select("k", F.col("w.id").alias("least"), F.col("w.t").alias("t"), "n"), "k"), "members")
     # blocks: 1 for a region that fits one task
     weights = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(region / 2)).cast("int").alias("cuts"))
     weights = weights.withColumn("cuts", F.when(F.col("cuts") <= 2, 1).otherwise(F.col("cuts")))
@@ -249,35 +256,41 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     tasks = tasks.withColumn("_i", block).withColumn("_j", F.explode(F.sequence(F.lit(0), cuts - 1)))
     task = F.struct(F.col("root"), F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
     n_members = members.count()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    texts = KeyFilter(members, "least", n_members).mark(texts, "id", "_hit").filter("_hit").drop("_hit")
-    work = texts.join(tasks.select(task.alias("task"), "k", "least"), F.col("id").eqNullSafe(F.col("least")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("_t"), text_or_empty(text_col).cast("binary").alias("text"))
+    keys = KeyFilter(members.select(F.xxhash64("least", "t").alias("_key")), "_key", n_members)
+    texts = keys.mark(texts.withColumn("_key", F.xxhash64("id", "_t")), "_key", "_hit").filter("_hit").drop("_hit", "_key")
+    work = texts.join(tasks.select(task.alias("task"), "k", "least", "t"), F.col("id").eqNullSafe(F.col("least")) & (F.col("_t") == F.col("t")))
     work = work.select(F.xxhash64("task", F.lit(1)).alias("task"), "k", "text").repartition(partitions, "task").sortWithinPartitions("task")
     links = components(_confirmed(work, size, numerator, denominator))
     named = links.unionByName(links.select(F.col("root").alias("node"), "root").distinct())
-    least = named.withColumnRenamed("node", "k").join(nodes.select("k", "least"), "k")
-    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = least.join(names, "root").select("k", "component_id")
-    by_node = nodes.select("k", "least", "copies").join(by_node, "k", "left").select("k", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    least = named.withColumnRenamed("node", "k").join(nodes.select("k", "w"), "k")
+    names = least.groupBy("root").agg(F.min("w").alias("first"))
+    by_node = least.join(names, "root").select("k", "first")
+    by_node = nodes.select("k", "w", "copies").join(by_node, "k", "left").select("k", "copies", F.coalesce("first", "w").alias("first"))
     hot = hot_keys(nodes, "k", "copies", nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
-    some = salted_join(rows.filter("k IS NOT NULL").select("id", "n", "k"), by_node.select("k", "component_id"), "k", hot, F.col("id"))
-    none = rows.filter("k IS NULL").select("id", "n", "k", F.col("id").alias("component_id"))
-    return some.select("id", "n", "k", "component_id").unionByName(none).select("id", F.col("n").alias("n_shingles"), "component_id", "k")
+    some = salted_join(rows.filter("k IS NOT NULL").select("id", "t", "n", "k"), by_node, "k", hot, F.xxhash64("id", "t"))
+    some = some.withColumn("best", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t")))
+    none = rows.filter("k IS NULL").select("id", "t", "n", "k", F.lit(1).cast("long").alias("copies"), F.col("id").alias("component_id"), F.lit(True).alias("best"))
+    both = some.select("id", "t", "n", "k", "copies", F.col("first.id").alias("component_id"), "best").unionByName(none)
+    return both.select("id", "t", F.col("n").alias("n_shingles"), "component_id", "k", "copies", "best")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100, region: int = REGION) -> DataFrame:
     out = classes(docs, id_col, text_col, size, numerator, denominator, region)
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("best").alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """docs with one row of each class, all columns kept; rows that share the id of a lost row are told apart by their set,
-    so ids must be unique. Only rows that may have lost are shuffled."""
-    lost = saved(verdicts(docs, id_col, text_col, size, numerator, denominator).filter("NOT kept").select(F.col(id_col).alias("_lost")), "lost")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_own"))
-    marked = KeyFilter(lost, "_lost", lost.count()).mark(rows, "_own", "_hit")
-    stays = marked.filter("_hit").join(lost, F.col("_own").eqNullSafe(F.col("_lost")), "left_anti")
-    return marked.filter(~F.col("_hit")).unionByName(stays).select("_row.*")
+    """docs with one row of each class, all columns kept; rows without a word all stay. Only rows that may have lost or that
+    are repeated are shuffled."""
+    out = classes(docs, id_col, text_col, size, numerator, denominator).filter("k IS NOT NULL AND (NOT best OR copies > 1)")
+    marks = saved(out.groupBy(F.col("id").alias("_lost"), F.col("t").alias("_text"), "best").agg(F.count(F.lit(1)).alias("n")).filter("NOT best OR n > 1").drop("n"), "marks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_own"), text_hash(text_col).alias("_t"))
+    keys = KeyFilter(marks.select(F.xxhash64("_lost", "_text").alias("_key")), "_key", marks.count())
+    marked = keys.mark(rows.withColumn("_key", F.xxhash64("_own", "_t")), "_key", "_hit")
+    both = marked.filter("_hit").join(marks, F.col("_own").eqNullSafe(F.col("_lost")) & (F.col("_t") == F.col("_text")), "left").filter("best IS NULL OR best")
+    stays = both.withColumn("_one", F.when(F.col("best"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["_own", "_t", "_one"])
+    return marked.filter(~F.col("_hit")).select("_row").unionByName(stays.select("_row")).select("_row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

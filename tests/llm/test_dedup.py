@@ -150,6 +150,20 @@ def test_near_on_odd_rows(spark):
     assert near_dedup.verdicts(df.limit(0)).count() == 0 and near_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_near_tells_rows_of_null_and_repeated_ids_apart(spark):
+    rng = random.Random(21)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    # a and d: near copies with a null against an id, and of one id; b: clean under null; c, f: clean under a repeated id, f's twin lost
+    rows = [(1, a), (None, a + " end"), (None, b), (5, c), (5, d), (5, d + " end"), (None, e), (None, e + " end"), (7, f), (8, f + " end"), (8, b + " " + c), (9, None), (9, None), (7, f)]
+    got = sorted(near_dedup.deduplicated(frame(spark, rows)).select("doc_id", "text").collect(), key=str)
+    count = lambda *texts: sum(r["text"] in texts for r in got)
+    assert [count(x, x + " end") for x in (a, d, e, f)] == [1, 1, 1, 1]
+    assert (1, a) in got and (7, f) in got and (None, b) in got and (5, c) in got and (8, b + " " + c) in got
+    assert count(None) == 2 and len(got) == 9
+    kept = [(r["doc_id"], r["kept"]) for r in near_dedup.verdicts(frame(spark, rows)).collect()]
+    assert len(kept) == len(rows) and sum(k for _, k in kept) == 10  # the repeated row of 7 is kept twice there
+
+
 def test_suffix_order():
     rng = random.Random(3)
     for _ in range(1500):
