@@ -77,7 +77,8 @@ def rules() -> dict[str, Column]:
     n = F.col("n_words")
     lines = F.size(F.split(F.col("text"), "\n"))
     upper = F.length("text") - F.length(F.regexp_replace("text", "\\p{Lu}", ""))
-    marks = F.size(F.filter("words", lambda w: w.rlike("[A-Za-z\\u00C0-\\u024F]")))
+    marks = F.size(F.filter("words", lambda w: w.rlike("[\\p{L}\\p{M}]")))
+    # letters of any script: the SQL names the Latin ones, which are all that its tables have
     return {
         "symbols": 5 * F.col("n_symbols") > n,  # more than one for five words
         "short_words": F.col("word_chars") < 2 * n,

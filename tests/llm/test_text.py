@@ -47,6 +47,16 @@ def test_quality_against_brute_force(spark, sample):
     assert got == {i: quality(t) for i, t in texts}
 
 
+def test_quality_keeps_other_scripts(spark):
+    rng = random.Random(3)
+    scripts = ["абвгдежз", "αβγδεζηθ", "ابتثجحخد", "אבגדהוזח", "कखगघचछजझ", "가나다라마바사아"]
+    texts = [(i, " ".join("".join(rng.choice(s) for _ in range(rng.randint(3, 7))) for _ in range(80))) for i, s in enumerate(scripts)]
+    texts += [(10, "12 345 " * 10 + " ".join(str(i) for i in range(100, 180)))]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judged(frame(spark, texts), sample=0).collect()}
+    assert got == {i: i < 10 for i, _ in texts}
+    assert {r["doc_id"] for r in quality_rules.kept(frame(spark, texts), sample=0).collect()} == set(range(len(scripts)))
+
+
 def test_quality_on_odd_rows(spark):
     df = frame(spark, ODD).withColumns({"words": F.lit(1), "id": F.lit(2)})
     assert quality_rules.judged(df).count() == len(ODD)
