@@ -48,7 +48,7 @@ def error_probability(q: Column) -> Column:
     return F.pow(F.lit(10.0), -q / 10.0)
 
 
-def kmers(seq: Column, k: int) -> Column:
+def kmers(seq: Column, k: int | Column) -> Column:
     """All windows of k characters; none if the sequence is shorter."""
     last = F.length(seq) - k + 1
 

@@ -90,15 +90,10 @@ def places_within(texts: DataFrame, patterns: DataFrame, id_col: str, text_col:
     size = F.floor(F.length("_q") / parts).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct((i * size).alias("off"), F.substring(F.col("_q"), i * size + 1, size).alias("kmer")))
     q = q.filter(size >= 1).withColumn("_size", size).withColumn("_p", F.explode(pieces)).select("pattern", "strand", "_q", "_size", "_p.off", "_p.kmer")
-    sizes = [r[0] for r in q.select("_size").distinct().limit(64).collect()]
-    found = None
     t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    for n in sizes:  # as many as there are lengths of patterns
-        w = t.select("id", F.posexplode(kmers(F.col("_t"), n)).alias("_w", "kmer"))
-        hits = w.join(q.filter(F.col("_size") == n), "kmer").select("id", "pattern", "strand", "_q", (F.col("_w") - F.col("off")).alias("at"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return t.select("id", F.lit("").alias("pattern"), F.lit(0).alias("strand"), F.lit(0).alias("at"), F.lit(0).alias("distance")).limit(0)
+    w = t.crossJoin(F.broadcast(q.select("_size").distinct()))  # a row for each length of piece
+    w = w.select("id", "_size", F.posexplode(kmers(F.col("_t"), F.col("_size"))).alias("_w", "kmer"))
+    found = w.join(q, ["_size", "kmer"]).select("id", "pattern", "strand", "_q", (F.col("_w") - F.col("off")).alias("at"))
     found = found.filter("at >= 0").distinct().join(t, "id").withColumn("_s", F.substring(F.col("_t"), F.col("at") + 1, F.length("_q"))).filter(F.length("_s") == F.length("_q"))
     return found.withColumn("distance", hamming(F.col("_s"), F.col("_q"))).filter(F.col("distance") <= mismatches).select("id", "pattern", "strand", "at", "distance")
 

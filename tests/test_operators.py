@@ -297,3 +297,19 @@ def test_rephred():
 def test_suffix_prefix(spark):
     df = spark.createDataFrame([(1, "TTTTTACGTACGTAA"), (2, "ACGTACGTAAGGGGG"), (3, "CCCCCCCCCCCCCCC")], "id long, s string")
     assert rows(kmers.suffix_prefix(df, "id", "s", 6), "a", "b", "at", "length", "score") == [(1, 2, 5, 10, 10)]
+
+
+def test_places_of_patterns_of_many_lengths(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choice("ACGT") for _ in range(400))
+    patterns = [(text[n : 3 * n],) for n in range(1, 91)]  # 90 lengths of pieces with one mismatch
+    got = textindex.places_within(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, t string"), spark.createDataFrame(patterns, "p string"), "id", "t", "p", 1)
+    want = set()
+    for (p,) in patterns:
+        for i in range(len(text) - len(p) + 1):
+            d = sum(x != y for x, y in zip(text[i : i + len(p)], p, strict=True))
+            if d <= 1:
+                want.add((1, p, i, d))
+    found = [(r["id"], r["pattern"], r["at"], r["distance"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len({p for _, p, _, _ in found}) == 90
+    assert textindex.places_within(spark.createDataFrame([(1, text)], "id long, t string"), spark.createDataFrame([], "p string"), "id", "t", "p", 1).count() == 0
