@@ -10,7 +10,7 @@
    content, save those that elements, roles or class names mark as menus, headers, footers, sidebars, notices, adverts, forms
    or reader comments. Where a page marks its article (article, main), the content lies in there, and only constant nodes with
    a class of their own are template: hosts may hold copies of one article, whose paragraphs are then constant too. Elsewhere
-   the content is the subtree of the wrapper with most of the text that varies, and lists of links in it are left out.
+   all blocks are content that are neither template nor marked, save lists of links.
 
 Character references are decoded; white space within a block becomes one space, blocks are joined by one space.
 
@@ -47,9 +47,7 @@ SALTS = 16
 MAX_DEPTH = 150
 #: Runs of siblings beyond which all siblings of a label are one node, and labels beyond which those of a tag are.
 MAX_RUNS, MAX_LABELS = 64, 256
-#: Share of the varying text that one child must hold for the content to lie in it.
-MAIN_SHARE = 0.6
-#: Share of link text from which a block is a list of links.
+#: Share of link text from which a list is one of links; other containers are menus only if all their words are links.
 LINK_SHARE = 0.6
 
 # fixed values: names of HTML elements
@@ -82,6 +80,7 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended recommendations teaser teasers widget widgets toolbar pagination pager skip disclaimer alert alerts announcement".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS, CONTAINERS = frozenset("ul ol dl dir".split()), frozenset("div section table".split())
 
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -473,8 +472,10 @@ def _places(blocks: list[Element], slots: list[Slot]) -> list[Slot | None]:
 
 
 def _link_list(e: Element) -> bool:
-    """Whether most of a block's text are links."""
-    total = links = 0
+    """Whether a list or a container is a menu: two links or more, and in a list most of the text, in a container all words."""
+    if e.tag not in LISTS and e.tag not in CONTAINERS:
+        return False
+    total = links = n = 0
     stack = [e]
     while stack:
         for p in stack.pop().parts:
@@ -482,9 +483,14 @@ def _link_list(e: Element) -> bool:
                 size = len(p[0].strip())
                 total += size
                 links += size * p[1]
+                if e.tag in CONTAINERS and not p[1] and re.search(r"\w", unescape(p[0])):
+                    return False
             elif not p.marked:
+                if e.tag in CONTAINERS and (p.tag == "p" or p.tag in HEADINGS):
+                    return False
+                n += p.tag == "a"
                 stack.append(p)
-    return total > 0 and links >= LINK_SHARE * total
+    return n > 1 and total > 0 and links >= LINK_SHARE * total
 
 
 def _articles(root: Element) -> list[Element]:
@@ -499,32 +505,6 @@ def _articles(root: Element) -> list[Element]:
     return out
 
 
-def _mass(w: Slot, tag_marked: bool = False) -> int:
-    """Characters of varying text that are no links, below a node of the wrapper."""
-    name = w.label.split(".", 1)
-    if name[0] in DROPPED or name[0] == "header" or len(name) > 1 and name[0] not in HEADINGS and MARKS.intersection(re.split("[^a-z]+", name[1])):
-        return 0
-    own = max(0, w.chars - w.links) if w.text == VARIES or w.n < MIN_PAGES else 0
-    return own + sum(_mass(x) for x in w.children)
-
-
-def _main(root: Element, w: Wrapper) -> tuple[Element, Slot | None]:
-    """The element that holds most of the text that varies over the host's pages."""
-    slot = w.root if w.root is not None else page_tree(root)
-    e = root
-    while True:
-        blocks = [b for b in _inner([e])[1]]
-        places = _places(blocks, slot.children)
-        total = _mass(slot)
-        best = max(slot.children, key=_mass, default=None)
-        if best is None or not total or _mass(best) < MAIN_SHARE * total:
-            return e, slot
-        held = [b for b, s in zip(blocks, places, strict=True) if s is best and not b.marked]
-        if len(held) != 1 or held[0].tag in ("p", *HEADINGS):
-            return e, slot
-        e, slot = held[0], best
-
-
 def extracted(html: str, w: Wrapper) -> str:
     root = parsed(html)
     out: list[str] = []
@@ -535,8 +515,7 @@ def extracted(html: str, w: Wrapper) -> str:
             _emit(e, slots.get(id(e)), w, True, out, False)
             out.append(" ")
     else:
-        e, slot = _main(root, w)
-        _emit(e, slot if w.root is not None else None, w, False, out, True)
+        _emit(root, w.root, w, False, out, True)
     return " ".join("".join(out).split())
 
 

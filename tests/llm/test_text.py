@@ -281,6 +281,24 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_unmarked_pages_lose_no_block(spark):
+    def html(k):
+        w = lambda n, x: " ".join(f"{x}{k}w{i}" for i in range(n))
+        parts = [f'<h1><a href="/{k}">Head {k}</a></h1>', f'<div class="lead">{w(15, "l")}</div>', f'<div class="content"><p>{w(80, "c")}</p><p><a href="/s">See {k}</a></p></div>', f'<div class="conclusion">{w(5, "e")}</div>', f'<div class="more"><a href="/{k}">Only {k}</a></div>']
+        text = f"Head {k} {w(15, 'l')} {w(80, 'c')} See {k} {w(5, 'e')} Only {k}"
+        menu = f'<div class="top"><a href="/">Home {k}</a> | <a href="/x">About</a></div><ul><li><a href="/a">Topic {k}</a><li><a href="/b">Other {k}</a></ul>'
+        return f"<html><body>{menu}{''.join(parts)}<div class='foot'>All rights.</div></body></html>", text
+
+    def halves(k):
+        w = lambda n, x: " ".join(f"{x}{k}w{i}" for i in range(n))
+        return f'<body><div class="first"><p>{w(65, "a")}</p></div><div class="second"><p>{w(35, "b")}</p></div></body>', f"{w(65, 'a')} {w(35, 'b')}"
+
+    rows = [(k, "http://a.example.com/", *html(k)) for k in range(5)] + [(10 + k, "http://b.example.com/", *halves(k)) for k in range(5)] + [(20, None, *halves(20)), (21, "http://c.example.com/", *html(21)[:1], html(21)[1] + " All rights.")]
+    df = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == {x[0]: x[3] for x in rows}
+
+
 def test_tree_matching():
     s = lambda label, *kids: html_text.Slot(label, children=list(kids))
     a, b = s("body", s("nav"), s("p"), s("div", s("p"))), s("body", s("div"), s("p"), s("div", s("p"), s("ul")))
