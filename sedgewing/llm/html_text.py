@@ -35,8 +35,8 @@ from sedgewing.llm.common import hot_keys, salted_join, saved, small_batches
 
 #: Pages on which a node must have had one text to be template.
 MIN_PAGES = 3
-#: Nodes of a wrapper above which those of a single page are forgotten; such nodes count as varying anyway.
-MAX_NODES = 4000
+#: Nodes of a partial wrapper, beyond GROWTH times its first page's, from which it is handed on whole and a new one begun.
+MAX_NODES, GROWTH = 4000, 8
 #: Bytes of all wrappers up to which they are broadcast; beyond that pages are joined with them by salted host.
 BROADCAST_BYTES = 16 << 20
 #: Nodes of partial wrappers that a task holds before it hands them on.
@@ -300,8 +300,9 @@ def matched(a: Slot, b: Slot) -> int:
     return 1 + (_table(a.children, b.children)[-1][-1] if a.children and b.children else 0)
 
 
-def merge(wrapper: Slot, page: Slot) -> None:
-    """Lays page (a page's tree or another wrapper) over the wrapper."""
+def merge(wrapper: Slot, page: Slot) -> int:
+    """Lays page (a page's tree or another wrapper) over the wrapper; returns the number of nodes that are new in it."""
+    new = 0
     stack = [(wrapper, page)]
     while stack:
         w, p = stack.pop()
@@ -317,14 +318,10 @@ def merge(wrapper: Slot, page: Slot) -> None:
             out, i, j = [], 0, 0
             for x, y in [*pairs, (len(w.children), len(p.children))]:
                 out += w.children[i:x] + p.children[j:y] + w.children[x : x + 1]
+                new += sum(c.count() for c in p.children[j:y])
                 i, j = x + 1, y + 1
             w.children = out
-
-
-def _forget(w: Slot) -> None:
-    w.children = [x for x in w.children if x.n > 1]
-    for x in w.children:
-        _forget(x)
+    return new
 
 
 def page_tree(root: Element) -> Slot:
@@ -332,23 +329,25 @@ def page_tree(root: Element) -> Slot:
 
 
 def _fold(rows: Iterator[tuple[str, Slot]], held: int = HELD_NODES) -> Iterator[tuple[str, Slot]]:
-    """Wrappers by host; a host may come more than once."""
+    """Wrappers by host; a host may come more than once, and no node of its pages is left out."""
     wrappers: dict[str, Slot] = {}
+    nodes: dict[str, list[int]] = {}  # now and at most
     size = 0
     for host, tree in rows:
         have = wrappers.get(host)
         if have is None:
-            wrappers[host] = tree
-            size += tree.count()
+            new = tree.count()
+            wrappers[host], nodes[host] = tree, [new, MAX_NODES + GROWTH * new]
         else:
-            before = len(have.children)
-            merge(have, tree)
-            size += len(have.children) - before
-            if have.n % 64 == 0 and have.count() > MAX_NODES:
-                _forget(have)
+            new = merge(have, tree)
+            nodes[host][0] += new
+        size += new
+        if nodes[host][0] > nodes[host][1]:
+            yield host, wrappers.pop(host)
+            size -= nodes.pop(host)[0]
         if size > held:
             yield from wrappers.items()
-            wrappers, size = {}, 0
+            wrappers, nodes, size = {}, {}, 0
     yield from wrappers.items()
 
 

@@ -299,6 +299,30 @@ def test_unmarked_pages_lose_no_block(spark):
     assert got == {x[0]: x[3] for x in rows}
 
 
+def test_wrappers_forget_no_node(monkeypatch):
+    monkeypatch.setattr(html_text, "MAX_NODES", 100)
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03}")
+    rare = "<div class='rare'>Now and then</div>"
+    pages = [f"<body><div class='x{name(k)}'><p>Text {k}</p></div>{rare if k % 100 == 99 else ''}<div class='end'>End</div></body>" for k in range(500)]
+    trees = [html_text.page_tree(html_text.parsed(x)) for x in pages]
+    parts = [w for _, w in html_text._fold(("h", t) for t in trees)]
+    assert len(parts) > 1
+    whole = parts[0]
+    for w in parts[1:]:
+        before = whole.count()
+        new = html_text.merge(whole, w)
+        assert whole.count() == before + new
+    assert whole.n == 500
+    found, stack = [], [whole]
+    while stack:
+        x = stack.pop()
+        found += [x] if x.label.startswith("div.") else []
+        stack += x.children
+    notice = [x for x in found if x.label == "div.rare"]
+    assert sum(x.n for x in notice) == 5 and max(x.n for x in notice) >= html_text.MIN_PAGES and all(x.text not in (0, html_text.VARIES) for x in notice)
+    assert sum(x.n for x in found if x.label.startswith("div.x")) == 500
+
+
 def test_tree_matching():
     s = lambda label, *kids: html_text.Slot(label, children=list(kids))
     a, b = s("body", s("nav"), s("p"), s("div", s("p"))), s("body", s("div"), s("p"), s("div", s("p"), s("ul")))
