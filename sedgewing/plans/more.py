@@ -172,9 +172,12 @@ def match_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add()
 def md_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records over a made reference, their MD and NM."""
+    from sedgewing.functions.cigar import reference_length
+
     a = alignments(spark, sf_dir).filter("ref_id >= 0").withColumn("seq", F.substring(F.repeat(F.lit("ACGGT"), 40), F.lit(1), _read_length().cast("int")))
-    refs = spark.range(4).select(F.col("id").cast("int").alias("ref_id"), F.repeat(F.lit("ACGT"), 30_000).alias("bases"))
-    return pileup.with_md(a.filter("pos < 100000"), refs).groupBy("nm").agg(F.count(F.lit(1)).alias("n"))
+    end = a.agg(F.max(F.col("pos") + reference_length(F.col("cigar"))).alias("end"))  # the references reach the last record
+    refs = spark.range(4).crossJoin(end).select(F.col("id").cast("int").alias("ref_id"), F.repeat(F.lit("ACGT"), F.ceil(F.col("end") / 4).cast("int")).alias("bases"))
+    return pileup.with_md(a, refs).groupBy("nm").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _read_length():

@@ -313,3 +313,15 @@ def test_places_of_patterns_of_many_lengths(spark):
     found = [(r["id"], r["pattern"], r["at"], r["distance"]) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == want and len({p for _, p, _, _ in found}) == 90
     assert textindex.places_within(spark.createDataFrame([(1, text)], "id long, t string"), spark.createDataFrame([], "p string"), "id", "t", "p", 1).count() == 0
+
+
+def test_md_texts_reads_records_at_all_positions(spark, tmp_path):
+    from sedgewing.plans import more
+
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(300)
+    # moved by whole periods of the reference, so that every NM stays as it is
+    far = items.withColumn("l_partkey", (F.col("l_partkey") + 60 * 500).cast(items.schema["l_partkey"].dataType))
+    items.unionByName(far).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["nm"]: r["n"] for r in more.md_texts(spark, str(tmp_path)).collect()}
+    near = items.filter("l_suppkey % 5 > 0").count()
+    assert sum(got.values()) == 2 * near and None not in got and all(n % 2 == 0 for n in got.values())
