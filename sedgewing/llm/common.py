@@ -41,6 +41,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables that a job writes to the shared folder, so that it can delete those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for t in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[0])
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        kept = {id(t) for t in tables}
+        self.drop(*[t for k, (_, t) in list(self.paths.items()) if k not in kept])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_BYTES at most from here on in this session, unless it has smaller ones: the JVM and Python hold a
     batch several times, which with the default of 64 MB is much of a small executor."""

@@ -1,28 +1,35 @@
-"""Removal of byte strings of LENGTH bytes that also start anywhere else.
+"""Removal of byte strings of LENGTH bytes that also start anywhere else, and a count of the bytes in shorter repeated passages.
 
-Candidates. Hashes of GRAM-byte windows are winnowed: a string of LENGTH bytes holds WINDOW of them, and the leftmost least
+Two lengths are searched at once: strings of LENGTH bytes are removed; strings of PASSAGE bytes, which a passage of 50 words fills,
+are counted (``n_passage_bytes``) and left in place.
+
+Candidates. Hashes of GRAM-byte windows are winnowed: a string of PASSAGE bytes holds WINDOW of them, and the leftmost least
 one, its anchor, owns it. The string's bytes alone decide its anchor, so equal strings have equal anchors at one offset, and
-only strings of equal anchors need be compared. An anchor that occurs once in the corpus owns no repeated string.
+only strings of equal anchors need be compared. A string of LENGTH bytes belongs to the anchor of its first PASSAGE bytes. An
+anchor that occurs once in the corpus owns no repeated string.
 
 Contexts. The strings that one occurrence of an anchor owns lie side by side; together they are its context. Contexts are
 first compared as a whole, by hash: where one occurs twice, all its strings are repeated. Of each different context of an
 anchor with several, one copy is then fetched.
 
 Suffix array. A task cuts the contexts of its anchors, some megabytes at a time, into units of UNIT bytes counted from the
-anchors, ranks the units and sorts the suffixes of the sequences of ranks by linear grouping (``suffix_groups``). A string of
-LENGTH bytes holds CORE units whole, so equal strings have suffixes that share CORE ranks and stand side by side in the array;
-the bytes before and behind those units, UNIT - 1 and LENGTH - UNIT * CORE at most, are then compared as they are. A suffix of
+anchors, ranks the units and sorts the suffixes of the sequences of ranks by linear grouping (``suffix_groups``). A string holds
+(length - UNIT + 1) // UNIT units whole, so equal strings have suffixes that share so many ranks and stand side by side in the
+array; the bytes before and behind those units are then compared as they are. A suffix of
 units stands for UNIT strings, which is what makes the array affordable: one of single bytes takes 4 microseconds a byte here,
 2000 CPU seconds a GB of input.
 
-Anchors with more than GROUP different contexts give a row per string instead, grouped by hash over all tasks, so that no
-anchor needs to fit into one.
+Anchors with more than GROUP different contexts give a row per string instead, grouped by anchor and hash over all tasks, so that
+no anchor needs to fit into one.
 
-Texts that are equal as a whole are one text with a number of copies: all their bytes are repeated if they have LENGTH.
+Texts that are equal as a whole are one text with a number of copies: all their bytes are repeated if they have the length.
 
-Hashes have 64 bits.
+Texts are told apart by 128 bits of their SHA-256. Contexts are equal by hash only within one anchor, so by two hashes of 64 bits,
+the anchor's and their own; strings of an anchor with too many contexts likewise. All other strings are compared byte for byte.
 
-Nulls count as empty; a text shorter than LENGTH loses nothing; rows that repeat an id and text are copies of each other.
+Nulls count as empty; a text shorter than a length has no string of it; rows that repeat an id and text are copies of each other.
+Null ids stay null. An empty table gives an empty result. Other columns are not read, whatever their names. A text of any length is
+hashed in blocks of BLOCK bytes; what its task holds is the text and a few numbers for each of its anchors.
 """
 
 from __future__ import annotations
@@ -31,21 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewing.llm.common import KeyFilter, documents, hot_keys, salted_join, saved, small_batches, text_or_empty
+from sedgewing.llm.common import KeyFilter, Tables, documents, hot_keys, salted_join, small_batches, text_or_empty
 from sedgewing.llm.exact_dedup import sha256_digest
 from sedgewing.llm.suffix_groups import suffix_order
 from sedgewing.llm.textnum import inverse_powers, mix, running_sum, window_hashes
 
-LENGTH, GRAM = 400, 100
-WINDOW = LENGTH - GRAM + 1
+LENGTH, PASSAGE, GRAM = 400, 250, 60
+WINDOW = PASSAGE - GRAM + 1
 #: Contexts whose strings one task compares at once; a group of more is cut by the hash of its strings instead.
 GROUP = 8000
-#: Bytes of a unit, units that each string holds whole, and bytes of contexts that form one suffix array.
+#: Bytes of a unit, and bytes of contexts that form one suffix array.
 UNIT = 32
-CORE = (LENGTH - UNIT + 1) // UNIT
 ARRAY = 2 << 20
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 20
@@ -75,7 +81,7 @@ def _sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(h == most)
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of a text's anchors; every window of length bytes holds one, decided by its bytes alone. Of equal
     least hashes in a window all are anchors."""
     width = length - gram + 1
@@ -93,7 +99,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return p, np.concatenate(hashes)[i]
 
 
-def owned(p: np.ndarray, h: np.ndarray, size: int, length: int = LENGTH, gram: int = GRAM) -> tuple[list[int], list[int]]:
+def owned(p: np.ndarray, h: np.ndarray, size: int, length: int = PASSAGE, gram: int = GRAM) -> tuple[list[int], list[int]]:
     """First and last start of the strings that each anchor owns: those in whose gram windows it is the leftmost least one.
     A string's bytes alone decide that, so equal strings are owned by equal anchors at the same offset."""
     places, values, n, width = p.tolist(), h.tolist(), len(p), length - gram + 1
@@ -110,38 +116,50 @@ def owned(p: np.ndarray, h: np.ndarray, size: int, length: int = LENGTH, gram: i
     return low, high
 
 
+def _text_key() -> Column:
+    return F.substring(F.col("digest"), 1, 16)
+
+
 def _distinct(docs: DataFrame, text_col: str, copies: DataFrame, n_copies: int) -> DataFrame:
-    """(digest, d, text) of each different text of at least LENGTH bytes; only rows with copies are shuffled."""
+    """(digest, d, text) of each different text of at least PASSAGE bytes; only rows with copies are shuffled."""
     marked = KeyFilter(copies, "digest", n_copies).mark(_long_rows(docs, text_col), "digest", "_many")
     once = marked.filter("_many").drop("_many").dropDuplicates(["digest"])
-    return marked.filter(~F.col("_many")).drop("_many").unionByName(once).withColumn("d", F.xxhash64("digest"))
+    return marked.filter(~F.col("_many")).drop("_many").unionByName(once).withColumn("d", _text_key())
 
 
 def _long_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    rows = docs.select(text_or_empty(text_col).cast("binary").alias("text")).filter(F.octet_length("text") >= LENGTH)
+    rows = docs.select(text_or_empty(text_col).cast("binary").alias("text")).filter(F.octet_length("text") >= PASSAGE)
     return rows.withColumn("digest", sha256_digest(F.col("text")))
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """(f, c, d, low, high, back): an anchor, its context's hash, the text, first and last start of the strings it owns, and
-    how far behind the first of them it stands."""
+    """(f, c, d, low, high, stop, back): an anchor, its context's hash, the text, first and last start of the strings it owns, the
+    end of the last of them that fits in LENGTH, and how far behind the first the anchor stands."""
+    names = ("f", "c", "low", "high", "stop", "back")
+    types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for d, text in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), strict=True):
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            keys: list[np.ndarray] = []
+            for d, text in zip(batch.column(0), batch.column(1), strict=True):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                 p, h = anchors(data)
                 low, high = (np.array(x, np.int64) for x in owned(p, h, len(data)))
                 own = low <= high
                 low, high, h, p = low[own], high[own], h[own], p[own]
-                c = span_hashes(data, low, high + LENGTH)
-                for x, y in zip(out, (h.view(np.int64), c.view(np.int64), np.full(len(h), d, np.int64), low, high, p - low), strict=True):
+                stop = np.minimum(high + LENGTH, len(data))
+                c = mix(span_hashes(data, low, stop) ^ (high - low).astype(np.uint64))
+                for x, y in zip(out, (h.view(np.int64), c.view(np.int64), low, high, stop, p - low), strict=True):
                     x.append(y)
-            if out[0]:
-                yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(x), pa.int64()) for k, x in zip(("f", "c", "d", "low", "high", "back"), out, strict=True)})
+                keys.append(np.tile(np.frombuffer(d.as_buffer(), dtype=np.uint8), len(h)))
+            if keys:
+                cols = {k: pa.array(np.concatenate(x), t) for k, x, t in zip(names, out, types, strict=True)}
+                raw = np.concatenate(keys)
+                d = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(raw) // 16, [None, pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_pydict(cols | {"d": d})
 
-    return texts.select("d", "text").mapInArrow(run, "f long, c long, d long, low long, high long, back long")
+    return texts.select("d", "text").mapInArrow(run, "f long, c long, low int, high int, stop int, back int, d binary")
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -158,33 +176,33 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def _fetched(texts: DataFrame) -> DataFrame:
-    """(f, n, d, low, back, context) from (d, text, wanted), wanted being (f, n, low, high, back)."""
+    """(f, n, d, low, starts, back, context) from (d, text, wanted), wanted being (f, n, low, high, stop, back)."""
+    names = ("f", "n", "d", "low", "starts", "back", "context")
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("f", "n", "d", "low", "back", "context")
-
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            return pa.RecordBatch.from_pydict({k: pa.array(x, pa.binary() if k == "context" else pa.int64()) for k, x in zip(names, cols, strict=True)})
+            return pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(names, types, strict=True))})
 
         for batch in batches:
             rows, size = [], 0
             for d, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py()
                 for w in wanted.as_py():
-                    rows.append((w["f"], w["n"], d, w["low"], w["back"], raw[w["low"] : w["high"] + LENGTH]))
+                    rows.append((w["f"], w["n"], d, w["low"], w["high"] - w["low"] + 1, w["back"], raw[w["low"] : w["stop"]]))
                     size += len(rows[-1][-1])
-                    if size > 8 << 20:
+                    if size > 4 << 20:
                         yield packed(rows)
                         rows, size = [], 0
             yield packed(rows)
 
-    return texts.select("d", "text", "wanted").mapInArrow(run, "f long, n long, d long, low long, back long, context binary")
+    return texts.select("d", "text", "wanted").mapInArrow(run, "f long, n long, d binary, low long, starts long, back long, context binary")
 
 
-def string_keys(f: int, context: bytes) -> np.ndarray:
-    """A key of each string of a context, from its bytes and its anchor's offset in it, which the strings' bytes decide."""
-    return window_hashes(np.frombuffer(context, dtype=np.uint8), LENGTH) ^ mix(np.array([f], np.int64).view(np.uint64))
+def string_keys(f: int, context: bytes, starts: int, length: int) -> np.ndarray:
+    """A key of each string of so many bytes that a context's anchor owns."""
+    h = window_hashes(np.frombuffer(context, dtype=np.uint8), length)[:starts]
+    return h ^ mix(np.array([f ^ length], np.int64).view(np.uint64))
 
 
 def _shared_head(rows: np.ndarray) -> np.ndarray:
@@ -211,21 +229,24 @@ def _numbers(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def repeated_starts(contexts: list[bytes], backs: list[int]) -> list[np.ndarray]:
-    """For each context a flag per start of a string of LENGTH bytes: whether the string starts elsewhere in the contexts, at the
-    same distance from an anchor modulo UNIT."""
-    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+def _strings_of(starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """How many strings of a length each context has."""
+    return np.minimum(starts, np.maximum(0, sizes - length + 1))
+
+
+def repeated_starts(contexts: list[bytes], backs: list[int], starts: list[int], lengths: tuple[int, ...] = (LENGTH, PASSAGE)) -> list[list[np.ndarray]]:
+    """For each length and context a flag per string that the context's anchor owns: whether the string starts elsewhere in the
+    contexts, at the same distance from an anchor modulo UNIT."""
+    sizes, most = np.array([len(c) for c in contexts], dtype=np.int64), np.array(starts, dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    flags = np.zeros(len(data), dtype=bool)
     first = np.array(backs, dtype=np.int64) % UNIT
     units = np.maximum(0, (sizes - first) // UNIT)
     owner = np.repeat(np.arange(len(contexts)), units)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(units) - units, units)
     place = begin[owner] + first[owner] + UNIT * nth
-    pieces = lambda: [flags[b : b + max(0, n - LENGTH + 1)] for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
     if not len(place):
-        return pieces()
+        return [[np.zeros(n, bool) for n in _strings_of(most, sizes, length).tolist()] for length in lengths]
     _, rank = np.unique(np.ascontiguousarray(data[place[:, None] + np.arange(UNIT)]).view(f"V{UNIT}").ravel(), return_inverse=True)
     # the sequences of ranks, a number of its own behind each
     text = np.empty(len(place) + len(contexts), dtype=np.int64)
@@ -233,39 +254,50 @@ def repeated_starts(contexts: list[bytes], backs: list[int]) -> list[np.ndarray]
     text[at] = rank.ravel() + len(contexts)
     text[np.cumsum(units) + np.arange(len(contexts))] = np.arange(len(contexts))
     row = np.full(len(text), -1, dtype=np.int64)
-    row[at] = np.where(units[owner] - nth >= CORE, np.arange(len(place)), -1)
+    row[at] = np.arange(len(place))
     array = row[np.array(suffix_order(text.tolist()), dtype=np.int64)]
     array = array[array >= 0]
-    if len(array) < 2:
-        return pieces()
-    cores = text[at[array][:, None] + np.arange(CORE)]
-    kind = np.concatenate([[0], np.cumsum((cores[1:] != cores[:-1]).any(axis=1))])
-    array, kind = array[np.bincount(kind)[kind] > 1], kind[np.bincount(kind)[kind] > 1]
-    if not len(array):
-        return pieces()
-    start, left, right = place[array], begin[owner[array]], (begin + sizes)[owner[array]]
-    behind = LENGTH - UNIT * CORE
-    before, after = np.minimum(start - left, UNIT - 1), np.minimum(right - start - UNIT * CORE, behind)
-    back, forth = start[:, None] - 1 - np.arange(UNIT - 1), start[:, None] + UNIT * CORE + np.arange(behind)
+    out = []
+    for length in lengths:
+        core = (length - UNIT + 1) // UNIT
+        some = array[units[owner[array]] - nth[array] >= core]
+        flags, own = np.zeros(len(data), dtype=bool), _strings_of(most, sizes, length)
+        if len(some) > 1:
+            cores = text[at[some][:, None] + np.arange(core)]
+            kind = np.concatenate([[0], np.cumsum((cores[1:] != cores[:-1]).any(axis=1))])
+            twice = np.bincount(kind)[kind] > 1
+            _flag(flags, data, length, core, place[some[twice]], kind[twice], begin[owner[some[twice]]], sizes[owner[some[twice]]], own[owner[some[twice]]])
+        out.append([flags[b : b + n] for b, n in zip(begin.tolist(), own.tolist(), strict=True)])
+    return out
+
+
+def _flag(flags: np.ndarray, data: np.ndarray, length: int, core: int, start: np.ndarray, kind: np.ndarray, left: np.ndarray, size: np.ndarray, own: np.ndarray) -> None:
+    """Sets the flags of the repeated strings among those that hold the units from each start on; units of one kind are equal."""
+    if not len(start):
+        return
+    behind = length - UNIT * core
+    before, after = np.minimum(start - left, UNIT - 1), np.minimum(left + size - start - UNIT * core, behind)
+    back, forth = start[:, None] - 1 - np.arange(UNIT - 1), start[:, None] + UNIT * core + np.arange(behind)
     heads = np.where(np.arange(UNIT - 1) < before[:, None], data[np.maximum(back, 0)], 0)
     tails = np.where(np.arange(behind) < after[:, None], data[np.minimum(forth, len(data) - 1)], 0)
     by_head, by_tail = _levels(kind, heads), _levels(kind, tails)
     for e in range(UNIT):  # strings that begin e bytes before the first whole unit
-        fits = np.flatnonzero((before >= e) & (after >= behind - e))
-        both = _numbers(*by_tail, behind - e)[fits] * (len(array) + 1) + _numbers(*by_head, e)[fits]
+        fits = np.flatnonzero((before >= e) & (after >= behind - e) & (start - e - left < own))
+        both = _numbers(*by_tail, behind - e)[fits] * (len(start) + 1) + _numbers(*by_head, e)[fits]
         _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
         flags[start[fits[counts[inverse.ravel()] > 1]] - e] = True
-    return pieces()
 
 
 def _compared(contexts: DataFrame) -> DataFrame:
-    """(d, start, end): repeated strings of contexts that occur once, the rows of an anchor standing side by side."""
+    """(d, size, start, end): strings of a size that are repeated, of contexts that occur once, the rows of an anchor standing
+    side by side."""
 
     def flush(rows: list[tuple], out: list[tuple]) -> None:
-        for r, twice in zip(rows, repeated_starts([r[5] for r in rows], [r[4] for r in rows]), strict=True):
-            if r[1] == 1:
-                for i, j in zip(*_runs(twice), strict=True):
-                    out.append((r[2], r[3] + int(i), r[3] + int(j) - 1 + LENGTH))
+        for length, found in zip((LENGTH, PASSAGE), repeated_starts([r[6] for r in rows], [r[5] for r in rows], [r[4] for r in rows]), strict=True):
+            for r, twice in zip(rows, found, strict=True):
+                if r[1] == 1:
+                    for i, j in zip(*_runs(twice), strict=True):
+                        out.append((r[2], length, r[3] + int(i), r[3] + int(j) - 1 + length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -273,43 +305,47 @@ def _compared(contexts: DataFrame) -> DataFrame:
         size = 0
 
         def packed() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
             out.clear()
-            return pa.RecordBatch.from_pydict({k: pa.array(x, pa.int64()) for k, x in zip(("d", "start", "end"), cols, strict=True)})
+            return pa.RecordBatch.from_pydict({k: pa.array(x, pa.binary() if k == "d" else pa.int64()) for k, x in zip(("d", "size", "start", "end"), cols, strict=True)})
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if size > ARRAY and rows[-1][0] != row[0]:
                     flush(rows, out)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[5])
+                size += len(row[6])
             yield packed()
         if rows:
             flush(rows, out)
         yield packed()
 
-    return contexts.select("f", "n", "d", "low", "back", "context").mapInArrow(run, "d long, start long, end long")
+    return contexts.select("f", "n", "d", "low", "starts", "back", "context").mapInArrow(run, "d binary, size long, start long, end long")
 
 
 def _strings(contexts: DataFrame) -> DataFrame:
-    """(key, once, d, start) of each string of the contexts."""
+    """(f, key, size, once, d, start) of each string of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, n, d, low, context in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                keys = string_keys(f, context).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "once": pa.array(np.full(len(keys), n == 1)), "d": pa.array(np.full(len(keys), d), pa.int64()), "start": pa.array(low + np.arange(len(keys)), pa.int64())})
+            for f, n, d, low, starts, context in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                for length in (LENGTH, PASSAGE):
+                    keys = string_keys(f, context, starts, length).view(np.int64)
+                    k = len(keys)
+                    yield pa.RecordBatch.from_pydict(
+                        {"f": pa.array(np.full(k, f), pa.int64()), "key": pa.array(keys, pa.int64()), "size": pa.array(np.full(k, length), pa.int64()), "once": pa.array(np.full(k, n == 1)), "d": pa.array([d] * k, pa.binary()), "start": pa.array(low + np.arange(k), pa.int64())}
+                    )
 
-    return contexts.select("f", "n", "d", "low", "context").mapInArrow(run, "key long, once boolean, d long, start long")
+    return contexts.select("f", "n", "d", "low", "starts", "context").mapInArrow(run, "f long, key long, size long, once boolean, d binary, start long")
 
 
-def _repeated_of_hot(contexts: DataFrame) -> DataFrame:
-    strings = saved(_strings(contexts), "strings")
-    groups = saved(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-strings")
+def _repeated_of_hot(contexts: DataFrame, tables: Tables) -> DataFrame:
+    strings = tables.saved(_strings(contexts).withColumn("key", F.struct("f", "key", "size")), "strings")
+    groups = tables.saved(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-strings")
     hot = hot_keys(groups, "key", "n", strings.count())
-    found = salted_join(strings.filter("once"), groups.select("key"), "key", hot, F.col("d"))
-    return found.select("d", "start", (F.col("start") + LENGTH).alias("end"))
+    found = salted_join(strings.filter("once").drop("f"), groups.select("key"), "key", hot, F.xxhash64("d", "start"))
+    return found.select("d", "size", "start", (F.col("start") + F.col("size")).alias("end"))
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,21 +354,25 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """((d, spans) of each different text with repeated strings, (digest) of the texts that occur as a whole more than once)."""
+    """((d, spans) of each different text with repeated strings, a span being (size, start, end), and (digest) of the texts that
+    occur as a whole more than once). The tables in between are deleted."""
     small_batches(docs.sparkSession)
-    copies = saved(_long_rows(docs, text_col).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "copies")
+    tables = Tables(docs.sparkSession)
+    copies = tables.saved(_long_rows(docs, text_col).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "copies")
     texts = _distinct(docs, text_col, copies, copies.count())
-    found = saved(_occurrences(texts), "occurrences")
-    shared = saved(found.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f"), "anchors")
-    near = KeyFilter(shared, "f", shared.count()).mark(found, "f", "_hit").filter("_hit").drop("_hit")
+    found = tables.saved(_occurrences(texts), "occurrences")
+    total = found.count()
+    shared = tables.saved(found.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f"), "anchors")
+    near = tables.saved(KeyFilter(shared, "f", shared.count()).mark(found, "f", "_hit").filter("_hit").drop("_hit"), "near")
+    tables.drop(found)
     # one row of each different context, the copy with the least (d, low)
-    contexts = saved(near.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "low", "high", "back")).alias("at")), "contexts")
-    per_anchor = saved(contexts.groupBy("f").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).filter("m > 1 AND open = 1").select("f", (F.col("m") > group).alias("hot")), "open-anchors")
-    wanted = saved(contexts.join(per_anchor, "f").select("f", "n", "hot", "at.*"), "wanted")
-    by_text = wanted.groupBy("d").agg(F.collect_list(F.struct("f", "n", "low", "high", "back")).alias("wanted"))
+    contexts = tables.saved(near.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "low", "high", "stop", "back")).alias("at")), "contexts")
+    per_anchor = tables.saved(contexts.groupBy("f").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).filter("m > 1 AND open = 1").select("f", (F.col("m") > group).alias("hot")), "open-anchors")
+    wanted = tables.saved(contexts.join(per_anchor, "f").select("f", "n", "hot", "at.*"), "wanted")
+    by_text = wanted.groupBy("d").agg(F.collect_list(F.struct("f", "n", "low", "high", "stop", "back")).alias("wanted"))
     holders = KeyFilter(wanted, "d", wanted.count()).mark(texts, "d", "_hit").filter("_hit").select("d", "text")
     fetched = _fetched(holders.join(by_text, "d"))
-    is_hot = saved(per_anchor.filter("hot").select("f"), "hot-anchors")
+    is_hot = tables.saved(per_anchor.filter("hot").select("f"), "hot-anchors")
     if is_hot.isEmpty():
         cool, hot = fetched, None
     else:
@@ -340,12 +380,17 @@ def spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     removed = _compared(cool.repartition(parts, "f").sortWithinPartitions("f"))
     if hot is not None:
-        removed = removed.unionByName(_repeated_of_hot(hot))
-    twice = saved(contexts.filter("n > 1").select("f", "c", "n"), "repeated-contexts")
-    many = hot_keys(twice.withColumn("k", F.xxhash64("f", "c")), "k", "n", found.count())
-    whole = salted_join(near.withColumn("k", F.xxhash64("f", "c")), twice.withColumn("k", F.xxhash64("f", "c")).select("k").distinct(), "k", many, F.xxhash64("d", "low"))
-    removed = removed.unionByName(whole.select("d", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")))
-    return saved(removed.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans"), copies
+        removed = removed.unionByName(_repeated_of_hot(hot, tables))
+    key = F.struct("f", "c")
+    twice = tables.saved(contexts.filter("n > 1").select(key.alias("k"), "n"), "repeated-contexts")
+    many = hot_keys(twice, "k", "n", total)
+    whole = salted_join(near.withColumn("k", key), twice.select("k"), "k", many, F.xxhash64("d", "low"))
+    long = F.when(F.col("stop") - F.col("low") >= LENGTH, F.struct(F.lit(LENGTH).alias("size"), F.col("low").alias("start"), F.col("stop").alias("end")))
+    short = F.struct(F.lit(PASSAGE).alias("size"), F.col("low").alias("start"), (F.col("high") + PASSAGE).alias("end"))
+    both = whole.select("d", F.explode(F.array_compact(F.array(long, short))).alias("e")).select("d", "e.*")
+    out = tables.saved(removed.unionByName(both.select("d", *[F.col(c).cast("long") for c in ("size", "start", "end")])).groupBy("d").agg(F.sort_array(F.collect_list(F.struct("size", "start", "end"))).alias("spans")), "spans")
+    tables.drop_all_but(out, copies)
+    return out, copies
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -360,26 +405,27 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each row."""
+    """id, n_bytes, n_removed, n_spans, n_passage_bytes and kept (the remaining bytes) of each row."""
     found, copies = spans(docs, text_col, group)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    rows = rows.withColumn("digest", sha256_digest(F.col("text"))).withColumn("d", F.xxhash64("digest"))
+    rows = rows.withColumn("digest", sha256_digest(F.col("text"))).withColumn("d", _text_key())
     rows = KeyFilter(found, "d", found.count()).mark(rows, "d", "_some")
     rows = KeyFilter(copies, "digest", copies.count()).mark(rows, "digest", "_many")
-    size = F.octet_length("text").cast("long").alias("n_bytes")
+    size = F.octet_length("text").cast("long")
     zero = F.lit(0).cast("long")
-    plain = rows.filter("NOT _some AND NOT _many").select("id", size, zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
+    plain = rows.filter("NOT _some AND NOT _many").select("id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), zero.alias("n_passage_bytes"), F.col("text").alias("kept"))
     rest = rows.filter("_some OR _many").select("id", "text", "digest", "d", "_many")
     whole = salted_flag(rest.filter("_many"), copies)
-    gone = whole.filter("_copy").select("id", size, size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    long = size >= LENGTH
+    gone = whole.filter("_copy").select("id", size.alias("n_bytes"), F.when(long, size).otherwise(zero).alias("n_removed"), long.cast("long").alias("n_spans"), size.alias("n_passage_bytes"), F.when(long, F.lit(b"")).otherwise(F.col("text")).alias("kept"))
     some = rest.filter("NOT _many").unionByName(whole.filter("NOT _copy").drop("_copy")).join(found, "d", "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, counts, kept = [], [], [], []
+            n, removed, counts, passages, kept = [], [], [], [], []
             for text, span in zip(batch.column(1), batch.column(2), strict=True):
                 raw, cut = text.as_py(), span.as_py() or []
-                runs = merged([x["start"] for x in cut], [x["end"] for x in cut])
+                runs = merged([x["start"] for x in cut if x["size"] == LENGTH], [x["end"] for x in cut if x["size"] == LENGTH])
                 parts, at = [], 0
                 for a, b in runs:
                     parts.append(raw[at:a])
@@ -388,10 +434,13 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
                 n.append(len(raw))
                 removed.append(sum(b - a for a, b in runs))
                 counts.append(len(runs))
+                cut.sort(key=lambda x: x["start"])
+                passages.append(sum(b - a for a, b in merged([x["start"] for x in cut], [x["end"] for x in cut])))
                 kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(counts, pa.int64()), "kept": pa.array(kept, pa.binary())})
+            cols = {"n_bytes": n, "n_removed": removed, "n_spans": counts, "n_passage_bytes": passages}
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | {k: pa.array(x, pa.int64()) for k, x in cols.items()} | {"kept": pa.array(kept, pa.binary())})
 
-    cut = some.withColumn("id", F.col("id").cast("long")).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = some.withColumn("id", F.col("id").cast("long")).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, n_passage_bytes long, kept binary")
     return plain.unionByName(gone).unionByName(cut).withColumnRenamed("id", id_col)
 
 
@@ -406,7 +455,7 @@ def salted_flag(rows: DataFrame, copies: DataFrame) -> DataFrame:
 
 def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cleaned(documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
 
 
 QUERIES = {"op10_repeated_spans": op10_repeated_spans}

@@ -209,29 +209,39 @@ def spanned_corpus(seed):
     return [*out, (60, out[3][1]), (61, None), (62, ""), (63, "q" * 399), (64, "q" * 400), (65, "z" * 2000), (66, out[3][1])]
 
 
+def spans_of(got):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str)
+
+
 @pytest.mark.parametrize("group", [repeated_spans.GROUP, 2])
 def test_repeated_spans_against_brute_force(spark, group):
     texts = spanned_corpus(11)
-    got = repeated_spans.cleaned(frame(spark, texts), group=group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
-    assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got), key=str) == brute_spans(texts, 400)
+    got = repeated_spans.cleaned(frame(spark, texts), group=group).collect()
+    assert spans_of(got) == brute_spans(texts, 400)
+    assert sorted(((r.doc_id, r.n_passage_bytes) for r in got), key=str) == sorted(((x[0], x[2]) for x in brute_spans(texts, 250)), key=str)
 
 
 def test_repeated_spans_on_odd_rows(spark):
     df = frame(spark, ODD).withColumns({"d": F.lit(1), "spans": F.lit(2), "kept": F.lit(3), "digest": F.lit(4)})
-    got = repeated_spans.cleaned(df).collect()
-    want = brute_spans(ODD, 400)
-    assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got), key=str) == want
+    assert spans_of(repeated_spans.cleaned(df).collect()) == brute_spans(ODD, 400)
     assert repeated_spans.cleaned(df.limit(0)).count() == 0
 
 
+def test_repeated_spans_leave_their_result_alone_in_the_shared_folder(spark):
+    """The tables in between are deleted, and the result can be read twice."""
+    out = repeated_spans.cleaned(frame(spark, spanned_corpus(5)))
+    assert sorted(out.collect(), key=str) == sorted(out.collect(), key=str)
+
+
 def test_repeated_starts_within_one_array():
     rng = random.Random(4)
     shared = bytes(rng.randrange(97, 101) for _ in range(460))
     parts = [bytes(rng.randrange(97, 101) for _ in range(40)) for _ in range(6)]
     contexts = [parts[0] + shared + parts[1], parts[2][:37] + shared[3:] + parts[3], parts[4] + shared[:430] + parts[5]]
-    backs = [40, 34, 40]
-    got = repeated_spans.repeated_starts(contexts, backs)
-    for c, flags in zip(contexts, got, strict=True):
-        for i, f in enumerate(flags):
-            want = sum(x.count(c[i : i + 400]) for x in contexts) > 1
-            assert bool(f) == want, i
+    starts = [len(c) - 249 for c in contexts]
+    for length, found in zip((400, 250), repeated_spans.repeated_starts(contexts, [40, 34, 40], starts), strict=True):
+        for c, flags in zip(contexts, found, strict=True):
+            assert len(flags) == len(c) - length + 1
+            for i, f in enumerate(flags):
+                want = sum(x.count(c[i : i + length]) for x in contexts) > 1
+                assert bool(f) == want, (length, i)
