@@ -24,7 +24,7 @@ no anchor needs to fit into one.
 
 Texts that are equal as a whole are one text with a number of copies: all their bytes are repeated if they have the length.
 
-Texts are told apart by 128 bits of their SHA-256. Contexts are equal by hash only within one anchor, so by two hashes of 64 bits,
+Texts are told apart by a number of 64 bits; should two share one, it is found by their SHA-256 and both get others. Contexts are equal by hash only within one anchor, so by two hashes of 64 bits,
 the anchor's and their own; strings of an anchor with too many contexts likewise. All other strings are compared byte for byte.
 
 Nulls count as empty; a text shorter than a length has no string of it; rows that repeat an id and text are copies of each other.
@@ -46,7 +46,7 @@ from sedgewing.llm.exact_dedup import sha256_digest
 from sedgewing.llm.suffix_groups import suffix_order
 from sedgewing.llm.textnum import inverse_powers, mix, running_sum, window_hashes
 
-LENGTH, PASSAGE, GRAM = 400, 250, 60
+LENGTH, PASSAGE, GRAM = 400, 280, 48
 WINDOW = PASSAGE - GRAM + 1
 #: Contexts whose strings one task compares at once; a group of more is cut by the hash of its strings instead.
 GROUP = 8000
@@ -116,15 +116,23 @@ def owned(p: np.ndarray, h: np.ndarray, size: int, length: int = PASSAGE, gram:
     return low, high
 
 
-def _text_key() -> Column:
-    return F.substring(F.col("digest"), 1, 16)
+def _text_key(odd: list[bytes]) -> Column:
+    """64 bits that name a text by its digest; the few digests that share a number with another (odd) get one from other bits."""
+    plain = F.xxhash64("digest")
+    return F.when(F.col("digest").isin(odd), F.xxhash64("digest", F.lit(1))).otherwise(plain) if odd else plain
 
 
-def _distinct(docs: DataFrame, text_col: str, copies: DataFrame, n_copies: int) -> DataFrame:
+def _shared_keys(digests: DataFrame) -> list[bytes]:
+    """Digests whose numbers of 64 bits are equal: of n texts n * n / 2**65 pairs are expected, 3 of 10**10 texts."""
+    twice = digests.groupBy(F.xxhash64("digest").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("digest").alias("all")).filter("n > 1")
+    return [bytes(x) for r in twice.select("all").collect() for x in r[0]]
+
+
+def _distinct(docs: DataFrame, text_col: str, copies: DataFrame, n_copies: int, odd: list[bytes]) -> DataFrame:
     """(digest, d, text) of each different text of at least PASSAGE bytes; only rows with copies are shuffled."""
     marked = KeyFilter(copies, "digest", n_copies).mark(_long_rows(docs, text_col), "digest", "_many")
     once = marked.filter("_many").drop("_many").dropDuplicates(["digest"])
-    return marked.filter(~F.col("_many")).drop("_many").unionByName(once).withColumn("d", _text_key())
+    return marked.filter(~F.col("_many")).drop("_many").unionByName(once).withColumn("d", _text_key(odd))
 
 
 def _long_rows(docs: DataFrame, text_col: str) -> DataFrame:
@@ -132,17 +140,26 @@ def _long_rows(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("digest", sha256_digest(F.col("text")))
 
 
+#: Bits of the numbers that ``at`` is made of, behind the first start of a context.
+PLACE = {"more": (1 << 19, 1023), "over": (1 << 10, 511), "back": (1, 1023)}
+
+
+def _placed(name: str) -> Column:
+    """low, high, stop or back out of ``at``."""
+    part = lambda k: (F.col("at").bitwiseAND(PLACE[k][0] * PLACE[k][1]) / F.lit(PLACE[k][0])).cast("long")
+    low = F.shiftright("at", 29)
+    return {"low": low, "high": low + part("more"), "stop": low + part("more") + part("over"), "back": part("back")}[name]
+
+
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """(f, c, d, low, high, stop, back): an anchor, its context's hash, the text, first and last start of the strings it owns, the
-    end of the last of them that fits in LENGTH, and how far behind the first the anchor stands."""
-    names = ("f", "c", "low", "high", "stop", "back")
-    types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+    """(f, c, d, at): an anchor, its context's hash, the text, and in one number the first start of the strings that it owns, how
+    many more starts there are, how far the context goes beyond the last, and how far behind the first the anchor stands."""
+    names = ("f", "c", "d", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
-            keys: list[np.ndarray] = []
-            for d, text in zip(batch.column(0), batch.column(1), strict=True):
+            for d, text in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), strict=True):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                 p, h = anchors(data)
                 low, high = (np.array(x, np.int64) for x in owned(p, h, len(data)))
@@ -150,16 +167,13 @@ def _occurrences(texts: DataFrame) -> DataFrame:
                 low, high, h, p = low[own], high[own], h[own], p[own]
                 stop = np.minimum(high + LENGTH, len(data))
                 c = mix(span_hashes(data, low, stop) ^ (high - low).astype(np.uint64))
-                for x, y in zip(out, (h.view(np.int64), c.view(np.int64), low, high, stop, p - low), strict=True):
+                at = low << 29 | (high - low) << 19 | (stop - high) << 10 | (p - low)
+                for x, y in zip(out, (h.view(np.int64), c.view(np.int64), np.full(len(h), d, np.int64), at), strict=True):
                     x.append(y)
-                keys.append(np.tile(np.frombuffer(d.as_buffer(), dtype=np.uint8), len(h)))
-            if keys:
-                cols = {k: pa.array(np.concatenate(x), t) for k, x, t in zip(names, out, types, strict=True)}
-                raw = np.concatenate(keys)
-                d = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(raw) // 16, [None, pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_pydict(cols | {"d": d})
+            if out[0]:
+                yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(x), pa.int64()) for k, x in zip(names, out, strict=True)})
 
-    return texts.select("d", "text").mapInArrow(run, "f long, c long, low int, high int, stop int, back int, d binary")
+    return texts.select("d", "text").mapInArrow(run, "f long, c long, d long, at long")
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -178,7 +192,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 def _fetched(texts: DataFrame) -> DataFrame:
     """(f, n, d, low, starts, back, context) from (d, text, wanted), wanted being (f, n, low, high, stop, back)."""
     names = ("f", "n", "d", "low", "starts", "back", "context")
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    types = (*[pa.int64()] * 6, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -196,7 +210,7 @@ def _fetched(texts: DataFrame) -> DataFrame:
                         rows, size = [], 0
             yield packed(rows)
 
-    return texts.select("d", "text", "wanted").mapInArrow(run, "f long, n long, d binary, low long, starts long, back long, context binary")
+    return texts.select("d", "text", "wanted").mapInArrow(run, "f long, n long, d long, low long, starts long, back long, context binary")
 
 
 def string_keys(f: int, context: bytes, starts: int, length: int) -> np.ndarray:
@@ -307,7 +321,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
         def packed() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             out.clear()
-            return pa.RecordBatch.from_pydict({k: pa.array(x, pa.binary() if k == "d" else pa.int64()) for k, x in zip(("d", "size", "start", "end"), cols, strict=True)})
+            return pa.RecordBatch.from_pydict({k: pa.array(x, pa.int64()) for k, x in zip(("d", "size", "start", "end"), cols, strict=True)})
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
@@ -321,7 +335,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
             flush(rows, out)
         yield packed()
 
-    return contexts.select("f", "n", "d", "low", "starts", "back", "context").mapInArrow(run, "d binary, size long, start long, end long")
+    return contexts.select("f", "n", "d", "low", "starts", "back", "context").mapInArrow(run, "d long, size long, start long, end long")
 
 
 def _strings(contexts: DataFrame) -> DataFrame:
@@ -334,10 +348,10 @@ def _strings(contexts: DataFrame) -> DataFrame:
                     keys = string_keys(f, context, starts, length).view(np.int64)
                     k = len(keys)
                     yield pa.RecordBatch.from_pydict(
-                        {"f": pa.array(np.full(k, f), pa.int64()), "key": pa.array(keys, pa.int64()), "size": pa.array(np.full(k, length), pa.int64()), "once": pa.array(np.full(k, n == 1)), "d": pa.array([d] * k, pa.binary()), "start": pa.array(low + np.arange(k), pa.int64())}
+                        {"f": pa.array(np.full(k, f), pa.int64()), "key": pa.array(keys, pa.int64()), "size": pa.array(np.full(k, length), pa.int64()), "once": pa.array(np.full(k, n == 1)), "d": pa.array(np.full(k, d), pa.int64()), "start": pa.array(low + np.arange(k), pa.int64())}
                     )
 
-    return contexts.select("f", "n", "d", "low", "starts", "context").mapInArrow(run, "f long, key long, size long, once boolean, d binary, start long")
+    return contexts.select("f", "n", "d", "low", "starts", "context").mapInArrow(run, "f long, key long, size long, once boolean, d long, start long")
 
 
 def _repeated_of_hot(contexts: DataFrame, tables: Tables) -> DataFrame:
@@ -353,23 +367,27 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """((d, spans) of each different text with repeated strings, a span being (size, start, end), and (digest) of the texts that
-    occur as a whole more than once). The tables in between are deleted."""
+def spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame, list[bytes]]:
+    """((d, spans) of each different text with repeated strings, (digest) of the texts that occur as a whole more than once, the
+    digests that need other numbers). A span is (start, short, long): repeated strings of PASSAGE bytes cover the text from start to
+    short, those of LENGTH to long; 0 is none. The tables in between are deleted."""
     small_batches(docs.sparkSession)
     tables = Tables(docs.sparkSession)
-    copies = tables.saved(_long_rows(docs, text_col).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "copies")
-    texts = _distinct(docs, text_col, copies, copies.count())
+    digests = tables.saved(_long_rows(docs, text_col).groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digests")
+    odd = _shared_keys(digests)
+    copies = tables.saved(digests.filter("n > 1").select("digest"), "copies")
+    texts = _distinct(docs, text_col, copies, copies.count(), odd)
     found = tables.saved(_occurrences(texts), "occurrences")
     total = found.count()
     shared = tables.saved(found.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f"), "anchors")
     near = tables.saved(KeyFilter(shared, "f", shared.count()).mark(found, "f", "_hit").filter("_hit").drop("_hit"), "near")
-    tables.drop(found)
-    # one row of each different context, the copy with the least (d, low)
-    contexts = tables.saved(near.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "low", "high", "stop", "back")).alias("at")), "contexts")
+    tables.drop(found, digests)
+    # one row of each different context, the copy with the least (d, at)
+    contexts = tables.saved(near.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "at")).alias("w")).select("f", "c", "n", "w.*"), "contexts")
     per_anchor = tables.saved(contexts.groupBy("f").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).filter("m > 1 AND open = 1").select("f", (F.col("m") > group).alias("hot")), "open-anchors")
-    wanted = tables.saved(contexts.join(per_anchor, "f").select("f", "n", "hot", "at.*"), "wanted")
-    by_text = wanted.groupBy("d").agg(F.collect_list(F.struct("f", "n", "low", "high", "stop", "back")).alias("wanted"))
+    wanted = tables.saved(contexts.join(per_anchor, "f").select("f", "n", "hot", "d", "at"), "wanted")
+    asked = F.struct("f", "n", *[_placed(x).alias(x) for x in ("low", "high", "stop", "back")])
+    by_text = wanted.groupBy("d").agg(F.collect_list(asked).alias("wanted"))
     holders = KeyFilter(wanted, "d", wanted.count()).mark(texts, "d", "_hit").filter("_hit").select("d", "text")
     fetched = _fetched(holders.join(by_text, "d"))
     is_hot = tables.saved(per_anchor.filter("hot").select("f"), "hot-anchors")
@@ -381,16 +399,17 @@ def spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[
     removed = _compared(cool.repartition(parts, "f").sortWithinPartitions("f"))
     if hot is not None:
         removed = removed.unionByName(_repeated_of_hot(hot, tables))
+    short = F.col("size") == PASSAGE
+    removed = removed.select("d", "start", F.when(short, F.col("end")).otherwise(0).alias("short"), F.when(short, 0).otherwise(F.col("end")).alias("long"))
     key = F.struct("f", "c")
     twice = tables.saved(contexts.filter("n > 1").select(key.alias("k"), "n"), "repeated-contexts")
     many = hot_keys(twice, "k", "n", total)
-    whole = salted_join(near.withColumn("k", key), twice.select("k"), "k", many, F.xxhash64("d", "low"))
-    long = F.when(F.col("stop") - F.col("low") >= LENGTH, F.struct(F.lit(LENGTH).alias("size"), F.col("low").alias("start"), F.col("stop").alias("end")))
-    short = F.struct(F.lit(PASSAGE).alias("size"), F.col("low").alias("start"), (F.col("high") + PASSAGE).alias("end"))
-    both = whole.select("d", F.explode(F.array_compact(F.array(long, short))).alias("e")).select("d", "e.*")
-    out = tables.saved(removed.unionByName(both.select("d", *[F.col(c).cast("long") for c in ("size", "start", "end")])).groupBy("d").agg(F.sort_array(F.collect_list(F.struct("size", "start", "end"))).alias("spans")), "spans")
+    whole = salted_join(near.select(key.alias("k"), "d", "at"), twice.select("k"), "k", many, F.xxhash64("d", "at"))
+    long = F.when(_placed("stop") - _placed("low") >= LENGTH, _placed("stop")).otherwise(F.lit(0))
+    whole = whole.select("d", _placed("low").alias("start"), (_placed("high") + PASSAGE).alias("short"), long.alias("long"))
+    out = tables.saved(removed.unionByName(whole).groupBy("d").agg(F.sort_array(F.collect_list(F.struct("start", "short", "long"))).alias("spans")), "spans")
     tables.drop_all_but(out, copies)
-    return out, copies
+    return out, copies, odd
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -406,9 +425,9 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, n_passage_bytes and kept (the remaining bytes) of each row."""
-    found, copies = spans(docs, text_col, group)
+    found, copies, odd = spans(docs, text_col, group)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    rows = rows.withColumn("digest", sha256_digest(F.col("text"))).withColumn("d", _text_key())
+    rows = rows.withColumn("digest", sha256_digest(F.col("text"))).withColumn("d", _text_key(odd))
     rows = KeyFilter(found, "d", found.count()).mark(rows, "d", "_some")
     rows = KeyFilter(copies, "digest", copies.count()).mark(rows, "digest", "_many")
     size = F.octet_length("text").cast("long")
@@ -425,7 +444,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
             n, removed, counts, passages, kept = [], [], [], [], []
             for text, span in zip(batch.column(1), batch.column(2), strict=True):
                 raw, cut = text.as_py(), span.as_py() or []
-                runs = merged([x["start"] for x in cut if x["size"] == LENGTH], [x["end"] for x in cut if x["size"] == LENGTH])
+                runs = merged([x["start"] for x in cut if x["long"]], [x["long"] for x in cut if x["long"]])
                 parts, at = [], 0
                 for a, b in runs:
                     parts.append(raw[at:a])
@@ -434,8 +453,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
                 n.append(len(raw))
                 removed.append(sum(b - a for a, b in runs))
                 counts.append(len(runs))
-                cut.sort(key=lambda x: x["start"])
-                passages.append(sum(b - a for a, b in merged([x["start"] for x in cut], [x["end"] for x in cut])))
+                passages.append(sum(b - a for a, b in merged([x["start"] for x in cut if x["short"]], [x["short"] for x in cut if x["short"]])))
                 kept.append(b"".join(parts))
             cols = {"n_bytes": n, "n_removed": removed, "n_spans": counts, "n_passage_bytes": passages}
             yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | {k: pa.array(x, pa.int64()) for k, x in cols.items()} | {"kept": pa.array(kept, pa.binary())})

@@ -218,7 +218,7 @@ def test_repeated_spans_against_brute_force(spark, group):
     texts = spanned_corpus(11)
     got = repeated_spans.cleaned(frame(spark, texts), group=group).collect()
     assert spans_of(got) == brute_spans(texts, 400)
-    assert sorted(((r.doc_id, r.n_passage_bytes) for r in got), key=str) == sorted(((x[0], x[2]) for x in brute_spans(texts, 250)), key=str)
+    assert sorted(((r.doc_id, r.n_passage_bytes) for r in got), key=str) == sorted(((x[0], x[2]) for x in brute_spans(texts, 280)), key=str)
 
 
 def test_repeated_spans_on_odd_rows(spark):
@@ -238,8 +238,8 @@ def test_repeated_starts_within_one_array():
     shared = bytes(rng.randrange(97, 101) for _ in range(460))
     parts = [bytes(rng.randrange(97, 101) for _ in range(40)) for _ in range(6)]
     contexts = [parts[0] + shared + parts[1], parts[2][:37] + shared[3:] + parts[3], parts[4] + shared[:430] + parts[5]]
-    starts = [len(c) - 249 for c in contexts]
-    for length, found in zip((400, 250), repeated_spans.repeated_starts(contexts, [40, 34, 40], starts), strict=True):
+    starts = [len(c) - 279 for c in contexts]
+    for length, found in zip((400, 280), repeated_spans.repeated_starts(contexts, [40, 34, 40], starts), strict=True):
         for c, flags in zip(contexts, found, strict=True):
             assert len(flags) == len(c) - length + 1
             for i, f in enumerate(flags):
