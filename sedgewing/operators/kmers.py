@@ -5,6 +5,10 @@ skew handling."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,54 @@ def windows(df: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame:
     return df.select(F.col(id_col), F.posexplode(S.kmers(F.col(seq_col), k)).alias("at", "kmer"))
 
 
+#: Stored windows up to which their hashes are sent to all tasks (8 bytes each); more are joined.
+MOST_STORED = 1 << 20
+#: Characters that are hashed at once.
+BLOCK = 1 << 19
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _window_hashes(text: str, k: int) -> np.ndarray:
+    """A 64-bit number of each window of k characters."""
+    letters = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    if len(letters) < k:
+        return np.zeros(0, np.uint64)
+    letters = (letters + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    letters ^= letters >> np.uint64(32)
+    up, down = np.full(len(letters), _ODD, np.uint64), np.full(len(letters), pow(_ODD, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(letters * np.cumprod(up, dtype=np.uint64), out=sums[1:], dtype=np.uint64)
+    return (sums[k:] - sums[:-k]) * np.cumprod(down, dtype=np.uint64)[: len(letters) - k + 1]
+
+
+def windows_among(df: DataFrame, id_col: str, seq_col: str, k: int, stored: DataFrame, most: int = MOST_STORED) -> DataFrame:
+    """(id, at, kmer): the windows that may be among the stored ones (kmer); all that are, and a few that only share a hash of 64
+    bits with one. Windows are hashed within a row, and only hits become rows. More than ``most`` stored windows are joined."""
+    hashes = stored.select("kmer").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"h": pa.array([int(_window_hashes(x, k)[0]) - (1 << 63) for x in b.column(0).to_pylist() if x and len(x) == k], pa.int64())}) for b in batches), "h long").distinct()
+    found = [r[0] for r in hashes.limit(most + 1).collect()]
+    if len(found) > most:
+        return windows(df, id_col, seq_col, k).join(stored.select("kmer").distinct(), "kmer", "left_semi")
+    wanted = np.sort(np.array(found, dtype=np.int64).astype(np.uint64) + np.uint64(1 << 63))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ats, texts = [], [], []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                for begin in range(0, max(1, len(text) - k + 1), BLOCK):
+                    h = _window_hashes(text[begin : begin + BLOCK + k - 1], k)
+                    place = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
+                    for i in np.flatnonzero(wanted[place] == h).tolist() if len(wanted) else ():
+                        rows.append(r)
+                        ats.append(begin + i)
+                        texts.append(text[begin + i : begin + i + k])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ats, pa.int32()), pa.array(texts, pa.string())], names=["id", "at", "kmer"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    out = df.filter(F.col(seq_col).isNotNull()).select(F.col(id_col), F.col(seq_col)).mapInArrow(run, f"id {kind}, at int, kmer string")
+    return out.withColumnRenamed("id", id_col)
+
+
 def count(df: DataFrame, seq_col: str, k: int, both_strands: bool = True) -> DataFrame:
     """(kmer, n). On both strands each window counts for itself and for its reverse complement."""
     own = S.kmers(F.col(seq_col), k)

@@ -132,10 +132,10 @@ def tag_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.get(tags, "PR").alias("pr"), T.get_any_case(tags, "st").alias("st"), F.size(T.names(T.ordered(tags))).cast("string").alias("n_tags"))
 
 
-@BOOK.add("SELECT doc_id, reverse(translate(substr(t, 1, 200), 'ACGTacgtMRWSYKVHDBNmrwsykvhdbnUu', 'TGCAtgcaKYWSRMBDHVNkywsrmbdhvnAa')) AS rc, CAST(length(t) AS BIGINT) AS n, regexp_matches(t, '[^ACGT]') AS other FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+@BOOK.add("SELECT doc_id, reverse(translate(t, 'ACGTacgtMRWSYKVHDBNmrwsykvhdbnUu', 'TGCAtgcaKYWSRMBDHVNkywsrmbdhvnAa')) AS rc, CAST(length(t) AS BIGINT) AS n, regexp_matches(t, '[^ACGT]') AS other FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", S.reverse_complement(F.substring(t, 1, 200)).alias("rc"), F.length(t).cast("long").alias("n"), S.has_other_bases(t).alias("other"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.reverse_complement(t).alias("rc"), F.length(t).cast("long").alias("n"), S.has_other_bases(t).alias("other"))
 
 
 @BOOK.add("SELECT p_partkey, CAST(list_sum(list_filter([ascii(c) - 33 FOR c IN string_split(p_name, '')], lambda q: q >= 70)) AS BIGINT) AS score FROM part WHERE len(list_filter([ascii(c) - 33 FOR c IN string_split(p_name, '')], lambda q: q >= 70)) > 0")

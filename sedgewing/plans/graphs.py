@@ -11,22 +11,33 @@ from sedgewing.plans.tables import table
 
 BOOK = Book()
 
-_EDGES = "SELECT DISTINCT c_custkey AS src, (c_custkey * 7 + c_nationkey) % 1500 AS dst FROM customer WHERE c_custkey < 1500"
+#: Customers and suppliers (numbered below zero) that share a line, either way.
+_TRADE = "SELECT DISTINCT o_custkey AS a, -1 - l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 1500")
-    return c.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 1500).alias("dst")).distinct()
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    one = t.select(F.col("o_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-@BOOK.add(f"""
-    WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS depth UNION SELECT CAST(e.dst AS BIGINT), r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 60)
-    SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
+def _reach_sql(rounds: int = 12) -> str:
+    """Levels one after the other; those beyond the last are empty."""
+    parts = [f"t AS MATERIALIZED ({_TRADE}), e AS MATERIALIZED (SELECT a AS src, b AS dst FROM t UNION ALL SELECT b, a FROM t), l0 AS MATERIALIZED (SELECT min(src) AS node, 0 AS depth FROM e WHERE src >= 0)"]
+    for k in range(1, rounds):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(max(0, k - 2), k))
+        parts.append(f"l{k} AS MATERIALIZED (SELECT DISTINCT dst AS node, {k} AS depth FROM e JOIN l{k - 1} ON src = node WHERE dst NOT IN ({seen}))")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT node, CAST(depth AS INTEGER) AS depth FROM l{k}" for k in range(rounds))
+
+
+@BOOK.add(_reach_sql())
 def reach_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(_edges(spark, sf_dir), spark.range(5, 6).select(F.col("id").alias("node")), 60)
+    """All that the customer of the least number reaches over shared lines."""
+    edges = _trade(spark, sf_dir)
+    return graph.reachable(edges, edges.filter("src >= 0").agg(F.min("src").alias("node")))
 
 
-_DAG = "SELECT DISTINCT p_partkey AS src, p_partkey + 1 + p_size AS dst FROM part WHERE p_partkey < 400"
+_DAG = "SELECT p_partkey AS src, 2 * p_partkey + 1 + p_size % 2 AS dst FROM part UNION SELECT p_partkey, 3 * p_partkey + 1 + p_size FROM part"
 
 
 @BOOK.add(f"""
@@ -34,20 +45,25 @@ _DAG = "SELECT DISTINCT p_partkey AS src, p_partkey + 1 + p_size AS dst FROM par
     r AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT dst FROM e) UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node)
     SELECT CAST(node AS BIGINT) AS node, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY node""")
 def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "part").filter("p_partkey < 400").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1 + F.col("p_size")).cast("long").alias("dst")).distinct()
+    k, size = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf_dir, "part")
+    e = p.select(k.alias("src"), (2 * k + 1 + size % 2).cast("long").alias("dst")).union(p.select(k, (3 * k + 1 + size).cast("long"))).distinct()
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     return graph.levels(e, nodes)[1]
 
 
-_FEW = "SELECT DISTINCT CAST(p_partkey AS BIGINT) AS src, CAST((p_partkey * 3 + p_size) % 120 AS BIGINT) AS dst FROM part WHERE p_partkey < 120"
+_RETURNS = "SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 4 UNION SELECT DISTINCT -1 - l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 4"
 
 
 @BOOK.add(f"""
-    WITH RECURSIVE e AS (SELECT * FROM ({_FEW}) WHERE src <> dst), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+    WITH RECURSIVE e AS ({_RETURNS}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
     r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
     SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "part").filter("p_partkey < 120").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 3 + F.col("p_size")) % 120).cast("long").alias("dst")).distinct().filter("src <> dst")
+    """Parts point to suppliers of returned lines, suppliers to parts of accepted ones, where few were bought."""
+    t = table(spark, sf_dir, "lineitem").filter("l_quantity < 4")
+    part, supplier = F.col("l_partkey"), -1 - F.col("l_suppkey")
+    e = t.filter("l_returnflag = 'R'").select(part.alias("src"), supplier.alias("dst")).union(t.filter("l_returnflag = 'A'").select(supplier, part)).distinct()
     return graph.strong_components(e, e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
 
 

@@ -72,21 +72,30 @@ def window_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("""
-    WITH t AS (SELECT o_orderkey % 7 AS k, list_aggregate([CASE WHEN (i * i + o_orderkey) % 7 = 0 THEN 'X' ELSE '=' END FOR i IN range(60)], 'string_agg', '') AS s FROM orders WHERE o_orderkey < 7),
+    WITH t AS (SELECT o_orderkey AS k, list_aggregate([CASE WHEN (i * i + o_orderkey) % 7 = 0 THEN 'X' ELSE '=' END FOR i IN range(60)], 'string_agg', '') AS s FROM orders),
     r AS (SELECT k, s, unnest(regexp_extract_all(s, '=+')) AS run FROM t), l AS (SELECT k, max(length(run)) AS n FROM r GROUP BY k)
     SELECT t.k, CAST(strpos(s, repeat('=', CAST(n AS INTEGER))) - 1 AS INTEGER) AS start, CAST(strpos(s, repeat('=', CAST(n AS INTEGER))) - 1 + n AS INTEGER) AS stop FROM t JOIN l USING (k)""")
 def longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = folds.longest_match(_trace(F.col("o_orderkey")))
-    return table(spark, sf_dir, "orders").filter("o_orderkey < 7").select((F.col("o_orderkey") % 7).alias("k"), m["start"].alias("start"), m["stop"].alias("stop"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), m["start"].alias("start"), m["stop"].alias("stop"))
 
 
-@BOOK.add()
+@BOOK.add("""
+    WITH t AS (SELECT o_orderkey, unnest(range(60)) AS i FROM orders), g AS (SELECT o_orderkey, i, CASE WHEN (i * i + o_orderkey) % 7 = 0 THEN -4 ELSE 1 END AS gain FROM t),
+    p AS (SELECT o_orderkey, i, sum(gain) OVER (PARTITION BY o_orderkey ORDER BY i) AS upto, sum(gain) OVER (PARTITION BY o_orderkey ORDER BY i) - gain AS before FROM g),
+    m AS (SELECT *, min(before) OVER (PARTITION BY o_orderkey ORDER BY i) AS low FROM p), s AS (SELECT *, upto - low AS score FROM m),
+    b AS (SELECT o_orderkey, max(score) AS score, arg_max(i, struct_pack(a := score, b := -i)) AS i FROM s GROUP BY o_orderkey)
+    SELECT b.o_orderkey, CAST(b.score AS INTEGER) AS score, CAST(max(p.i) AS INTEGER) AS start, CAST(b.i + 1 AS INTEGER) AS stop
+    FROM b JOIN m ON m.o_orderkey = b.o_orderkey AND m.i = b.i JOIN p ON p.o_orderkey = b.o_orderkey AND p.i <= b.i AND p.before = m.low GROUP BY ALL""")
 def best_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = folds.best_score(_trace(F.col("o_orderkey")), 1, -4)
     return table(spark, sf_dir, "orders").select("o_orderkey", b["score"].alias("score"), b["start"].alias("start"), b["stop"].alias("stop"))
 
 
-@BOOK.add()
+@BOOK.add("""
+    WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    r AS (SELECT o_custkey, i, p, 1 AS n FROM o UNION SELECT o.o_custkey, o.i, o.p, r.n + 1 FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i > r.i AND o.p > r.p)
+    SELECT o.o_custkey, CAST((SELECT max(n) FROM r WHERE r.o_custkey = o.o_custkey) AS INTEGER) AS longest, CAST(count(*) AS INTEGER) AS orders FROM o GROUP BY o.o_custkey""")
 def increasing_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest increasing run of prices among a customer's orders."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda x: x["o_totalprice"]).alias("p"))

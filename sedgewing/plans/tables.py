@@ -78,11 +78,11 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interval in days per line item: from the order to the shipment, by customer's order."""
     t = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     day = lambda c: F.unix_date(F.to_date(c)).cast("long")
-    return t.select(F.col("l_suppkey").alias("grp"), item_number().alias("id"), F.least(day("o_orderdate"), day("l_shipdate")).alias("start"), (F.least(day("o_orderdate"), day("l_shipdate")) + F.col("l_quantity").cast("long")).alias("stop"))
+    return t.select(F.col("l_suppkey").alias("grp"), item_number().alias("id"), F.col("l_linenumber").alias("line"), F.least(day("o_orderdate"), day("l_shipdate")).alias("start"), (F.least(day("o_orderdate"), day("l_shipdate")) + F.col("l_quantity").cast("long")).alias("stop"))
 
 
 SPANS_SQL = f"""
-    SELECT l_suppkey AS grp, {ITEM} AS id,
+    SELECT l_suppkey AS grp, {ITEM} AS id, l_linenumber AS line,
            CAST(datediff('day', DATE '1970-01-01', least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS BIGINT) AS start,
            CAST(datediff('day', DATE '1970-01-01', least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) + CAST(l_quantity AS BIGINT) AS BIGINT) AS stop
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
