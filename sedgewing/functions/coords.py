@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,17 @@ def in_interval(pos: Column, ref_end: Column, start: Column, end: Column) -> Col
 def coordinate_key(ref_id: Column, pos: Column) -> list[Column]:
     """Sort columns of coordinate order: records without a reference come last."""
     return [F.when(ref_id < 0, F.lit(2**32) + ref_id).otherwise(ref_id).cast("long"), pos]
+
+
+def binning_index(records: DataFrame, ref_length: Column, min_shift: int = 14, depth: int = 5) -> DataFrame:
+    """(ref_id, bin, n, first_pos, last_end): for each bin of the hierarchy the records that it is the smallest bin of."""
+    stop = F.col("pos") + F.greatest(ref_length, F.lit(1))
+    placed = records.select("ref_id", "pos", stop.cast("long").alias("_stop"), reg2bin(F.col("pos"), stop, min_shift, depth).cast("int").alias("bin"))
+    return placed.groupBy("ref_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("_stop").alias("last_end"))
+
+
+def linear_index(records: DataFrame, ref_length: Column, shift: int = 14) -> DataFrame:
+    """(ref_id, stretch, first_pos): the first record that reaches into each stretch of 2**shift positions."""
+    last = F.col("pos") + F.greatest(ref_length, F.lit(1)) - 1
+    each = records.select("ref_id", "pos", F.explode(F.sequence(F.shiftright(F.col("pos").cast("long"), shift), F.shiftright(last.cast("long"), shift))).alias("stretch"))
+    return each.groupBy("ref_id", "stretch").agg(F.min("pos").alias("first_pos"))

@@ -85,3 +85,17 @@ def shreds(seq: Column, length: int, step: int) -> Column:
     """(start, piece): pieces of a fixed length every ``step`` bases."""
     starts = F.when(F.length(seq) >= length, F.sequence(F.lit(0), F.length(seq) - length, F.lit(step))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(seq, i + 1, F.lit(length)).alias("piece")))
+
+
+def segment(bases: Column, start: Column, stop: Column) -> Column:
+    """The bases of [start, stop)."""
+    return F.substring(bases, (start + 1).cast("int"), (stop - start).cast("int"))
+
+
+def code_points(text: Column) -> Column:
+    """The numbers of a text's characters."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.call_function("ascii", c).cast("long"))
+
+
+def code_point_sum(text: Column) -> Column:
+    return F.aggregate(code_points(text), F.lit(0).cast("long"), lambda s, c: s + c)

@@ -71,3 +71,8 @@ def next_set(df: DataFrame, order: str, flag: str, out: str = "next", keys: list
 def window_minimum(df: DataFrame, keys: list[str], order: str, value: str, before: int, after: int, out: str = "least") -> DataFrame:
     """Range minimum over rows around each row of its key."""
     return df.withColumn(out, F.min(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-before, after)))
+
+
+def peeked(df: DataFrame, keys: list[str], order: str, value: str, out: str = "peeked") -> DataFrame:
+    """df with a value of the next row of its key."""
+    return df.withColumn(out, F.lead(value).over(Window.partitionBy(*keys).orderBy(order)))

@@ -74,12 +74,16 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(id, seq, plus, qual): four lines a record. Records are cut at a line end before ``@`` that a name, bases and a plus line
     follow; quality lines may begin with ``@`` as well."""
+    import gzip
+
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for content in batch.column(0).to_pylist():
+                if content[:2] == b"\x1f\x8b":  # gzip, of one member or many
+                    content = gzip.decompress(content)
                 out += parse_fastq(content.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in out], pa.string()) for i, k in enumerate(("id", "seq", "plus", "qual"))})
 
@@ -169,3 +173,15 @@ def read_numbers(spark: SparkSession, path: str, width: int = 8) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(v), pa.string()), "at": pa.array(np.arange(len(v))), "v": pa.array(v)})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, at long, v long")
+
+
+def with_sort_order(header: DataFrame, order: str) -> DataFrame:
+    """The header with another sort order in its first line."""
+    changed = F.map_concat(F.map_filter("fields", lambda k, v: k != "SO"), F.create_map(F.lit("SO"), F.lit(order)))
+    return header.withColumn("fields", F.when(F.col("kind") == "HD", changed).otherwise(F.col("fields")))
+
+
+def write_fasta(records: DataFrame, path: str, line: int = 60, compression: str = "none") -> None:
+    """Sequences in lines of so many bases."""
+    body = F.regexp_replace("seq", f"(.{{{line}}})(?=.)", "$1\n")
+    records.select(F.concat(F.lit(">"), "id", F.lit("\n"), body).alias("value")).write.text(path, compression=compression)
