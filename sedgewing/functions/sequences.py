@@ -99,3 +99,8 @@ def code_points(text: Column) -> Column:
 
 def code_point_sum(text: Column) -> Column:
     return F.aggregate(code_points(text), F.lit(0).cast("long"), lambda s, c: s + c)
+
+
+def middle_last(kmer: Column, start: int, stop: int) -> Column:
+    """The k-mer with its middle part [start, stop) moved behind the rest, as searches by the ends want it."""
+    return F.concat(F.substring(kmer, 1, start), F.substring(kmer, F.lit(stop + 1), F.length(kmer)), F.substring(kmer, start + 1, stop - start))

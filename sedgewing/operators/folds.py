@@ -244,3 +244,13 @@ def split_blocks(df: DataFrame, order: str, length: str, most: int) -> DataFrame
 
     rows = df.select(F.col(order).alias("_o"), F.col(length).cast("long").alias("_n")).orderBy("_o").coalesce(1)
     return rows.select("_n").mapInArrow(run, "block long, low long, high long, size long")
+
+
+def needle_prefix(needle: str):
+    """A function of columns: the length of the longest start of the needle in a text."""
+
+    @pandas_udf(T.IntegerType())
+    def found(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else longest_prefix_match(needle, v)[1]).astype("Int32")
+
+    return found

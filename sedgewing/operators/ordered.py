@@ -76,3 +76,11 @@ def window_minimum(df: DataFrame, keys: list[str], order: str, value: str, befor
 def peeked(df: DataFrame, keys: list[str], order: str, value: str, out: str = "peeked") -> DataFrame:
     """df with a value of the next row of its key."""
     return df.withColumn(out, F.lead(value).over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def run_lengths(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, value, first, last, n): runs of rows of one value that follow each other."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    new = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("int")
+    runs = df.select(*keys, order, value, new.alias("_new")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "_run").agg(F.first(value).alias(value), F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")

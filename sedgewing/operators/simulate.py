@@ -54,3 +54,8 @@ def noisy(df: DataFrame, key: str, seq: str, substitution: float, insertion: flo
         return F.when(u < substitution, other).when(u < substitution + insertion, F.concat(other, c)).when(u < substitution + insertion + deletion, F.lit("")).otherwise(c)
 
     return df.withColumn(out, F.array_join(F.transform(letters, base), ""))
+
+
+def by_digest(df: DataFrame, key: str, share: int) -> DataFrame:
+    """Rows whose key's MD5 begins with a byte below ``share`` of 256; the same rows everywhere."""
+    return df.filter(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 2), 16, 10).cast("int") < share)
