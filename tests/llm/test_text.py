@@ -66,9 +66,18 @@ def test_quality_on_odd_rows(spark):
 
 
 def test_rules_are_ordered_by_rejections_per_cost(spark):
-    df = frame(spark, [(i, "AA BB CC DD " * 20) for i in range(20)])
-    rules = {"never": F.col("n_words") < 0, "always": F.col("n_words") > 0}
-    assert quality_rules.ordered_rules(df, "doc_id", "text", rules) == ["always", "never"]
+    df = frame(spark, [(i, "AA BB CC DD " * 20) for i in range(20)]).withColumn("words", F.split("text", " "))
+    rules = {"never": F.size("words") < 0, "always": F.size("words") > 0}
+    assert quality_rules.by_price(df, rules, F.lit(True)) == ["always", "never"]
+    assert quality_rules.by_price(df, rules, F.lit(False))[-1] in rules  # none is open: all are there, the cheapest first
+
+
+def test_quality_keeps_what_is_judged_so(spark):
+    """The lazy way of the pipeline and the full measures agree, whatever the order of the rules."""
+    texts = quality_corpus()
+    want = {i for i, t in texts if quality(t)[-1]}
+    for sample in (0, 30):
+        assert {r["doc_id"] for r in quality_rules.kept(frame(spark, texts), sample=sample).collect()} == want
 
 
 def test_mixing_meets_the_margins(spark):
