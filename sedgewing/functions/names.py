@@ -52,3 +52,8 @@ def valid(name: Column) -> Column:
 
 def read_record_name(prolog: Column, origin: Column, fpulse: Column, rlen: Column) -> Column:
     return F.format_string("%s/%d/%d_%d", prolog, origin, fpulse, fpulse + rlen)
+
+
+def hash32_text(name: Column) -> Column:
+    """A hash of 32 bits of a name, as hex: the first of its MD5."""
+    return F.substring(F.md5(name.cast("binary")), 1, 8)

@@ -104,3 +104,13 @@ def code_point_sum(text: Column) -> Column:
 def middle_last(kmer: Column, start: int, stop: int) -> Column:
     """The k-mer with its middle part [start, stop) moved behind the rest, as searches by the ends want it."""
     return F.concat(F.substring(kmer, 1, start), F.substring(kmer, F.lit(stop + 1), F.length(kmer)), F.substring(kmer, start + 1, stop - start))
+
+
+def rank_name(first: Column, second: Column) -> Column:
+    """A name of two decimal ranks."""
+    return F.concat_ws("_", first.cast("string"), second.cast("string"))
+
+
+def best_qualities(original: Column, own: Column) -> Column:
+    """The qualities from before recalibration where there are any."""
+    return F.coalesce(original, own)

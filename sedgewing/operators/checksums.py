@@ -102,3 +102,11 @@ def sequence_checksums(records: DataFrame, by: list[str], kind: str, hash_name:
     every = sums(hashed, by, "_hex", bits).withColumn("which", F.lit("all"))
     passed = sums(hashed.filter(F.col("flags").bitwiseAND(512) == 0), by, "_hex", bits).withColumn("which", F.lit("pass"))
     return every.unionByName(passed)
+
+
+def prime_sums(df: DataFrame, by: list[str], hexa: str, prime: int = 2147483629) -> DataFrame:
+    """(by, n, checksum): the sum of digests modulo a prime below 2**31, from residues of 32 bits at a time."""
+    from sedgewing.functions.numbers import limbs, limbs_modulo
+
+    rest = limbs_modulo(limbs(F.col(hexa), 4), F.lit(prime))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.pmod(F.sum(rest), F.lit(prime)).alias("checksum"))

@@ -98,6 +98,11 @@ def _letters(trace: Column) -> Column:
     return F.filter(F.split(trace, ""), lambda c: c != "")
 
 
+def _once(value: Column, body) -> Column:
+    """body(value) with value computed once, though used often."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def window_error(trace: Column, width: int) -> Column:
     """The most errors (other letters than =) in ``width`` successive operations."""
     all_errors = F.transform(_letters(trace), lambda c: (c != "=").cast("int"))
@@ -117,17 +122,25 @@ def window_error(trace: Column, width: int) -> Column:
 
 def last_good_window(trace: Column, width: int, errors: int) -> Column:
     """End of the last window of ``width`` operations with at most so many errors; -1 for none."""
-    n = F.length(trace)
-    ends = F.when(n >= width, F.sequence(F.lit(width), n)).otherwise(F.array().cast("array<int>"))
-    bad = lambda e: F.length(F.translate(F.substring(trace, e - width + 1, F.lit(width)), "=", ""))
-    return F.coalesce(F.array_max(F.filter(ends, lambda e: bad(e) <= errors)), F.lit(-1))
+
+    def last(t: Column) -> Column:
+        n = F.length(t)
+        ends = F.when(n >= width, F.sequence(F.lit(width), n)).otherwise(F.array().cast("array<int>"))
+        bad = lambda e: F.length(F.translate(F.substring(t, e - width + 1, F.lit(width)), "=", ""))
+        return F.coalesce(F.array_max(F.filter(ends, lambda e: bad(e) <= errors)), F.lit(-1))
+
+    return _once(trace, last)
 
 
 def low_quality(trace: Column, width: int, errors: int) -> Column:
     """(start, stop) of the merged windows of ``width`` operations with more errors than allowed; stop is exclusive."""
-    n = F.length(trace)
-    starts = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-    bad = F.filter(starts, lambda i: F.length(F.translate(F.substring(trace, i + 1, F.lit(width)), "=", "")) > errors)
+
+    def starts(t: Column) -> Column:
+        n = F.length(t)
+        all_starts = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+        return F.filter(all_starts, lambda i: F.length(F.translate(F.substring(t, i + 1, F.lit(width)), "=", "")) > errors)
+
+    bad = _once(trace, starts)
     none = F.array().cast("array<struct<start:int,stop:int>>")
 
     def step(out: Column, i: Column) -> Column:
@@ -172,7 +185,7 @@ def diagonals(trace: Column) -> Column:
     state = F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("out"))
     step = lambda s, c: F.struct((s["d"] + F.when(c == "D", 1).when(c == "I", -1).otherwise(0)).alias("d"), F.when(c == "=", F.concat(s["out"], F.array(s["d"]))).otherwise(s["out"]).alias("out"))
     on = F.aggregate(_letters(trace), state, step, lambda s: s["out"])
-    return F.transform(F.array_sort(F.array_distinct(on)), lambda d: F.struct(d.alias("diagonal"), F.size(F.filter(on, lambda x: x == d)).alias("matches")))
+    return _once(on, lambda o: F.transform(F.array_sort(F.array_distinct(o)), lambda d: F.struct(d.alias("diagonal"), F.size(F.filter(o, lambda x: x == d)).alias("matches"))))
 
 
 def chains(matches: DataFrame, keys: list[str], gap_cost: float = 0.5) -> DataFrame:
@@ -254,3 +267,9 @@ def needle_prefix(needle: str):
         return x.map(lambda v: None if v is None else longest_prefix_match(needle, v)[1]).astype("Int32")
 
     return found
+
+
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def increasing_lengths(x: pd.Series) -> pd.Series:
+    """The length of the longest strictly increasing subsequence that starts at each place."""
+    return x.map(lambda v: None if v is None else increasing_from(list(v))[0])

@@ -5,7 +5,7 @@ but counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgewing.scratch import written
@@ -106,3 +106,17 @@ def transitively_reduced(edges: DataFrame) -> DataFrame:
     two = e.select(F.col("src"), F.col("dst").alias("_m"), F.col("w").alias("_w1")).join(e.select(F.col("src").alias("_m"), "dst", F.col("w").alias("_w2")), "_m")
     longer = two.groupBy("src", "dst").agg(F.min(F.greatest("_w1", "_w2")).alias("_w"))
     return e.join(longer, ["src", "dst"], "left").filter(F.col("_w").isNull() | (F.col("_w") >= F.col("w"))).select("src", "dst", "w")
+
+
+def string_edges(overlaps: DataFrame, alen: int | Column, blen: int | Column) -> DataFrame:
+    """(from_id, to_id, to_begin, weight): edges from the end of a read to one that goes on behind it, by the bases that it adds;
+    to_begin is false where the other read is turned round. Of several overlaps the one that adds least counts."""
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (alen, blen))
+    on = overlaps.filter((F.col("aepos") == a) & (F.col("bepos") < b))
+    return on.groupBy(F.col("aread").alias("from_id"), F.col("bread").alias("to_id"), (~F.col("inv")).alias("to_begin")).agg(F.min(b - F.col("bepos")).alias("weight"))
+
+
+def compared(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row (missing, unfounded): edges that the graph lacks, and those that nothing calls for."""
+    missing = wanted.exceptAll(edges).agg(F.count(F.lit(1)).alias("missing"))
+    return missing.crossJoin(F.broadcast(edges.exceptAll(wanted).agg(F.count(F.lit(1)).alias("unfounded"))))  # one row each

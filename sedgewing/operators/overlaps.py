@@ -93,3 +93,17 @@ def kept_reads(reads: DataFrame, cutoff: int | None, best_only: bool, best_bit:
 def files_of_range(index: DataFrame, low: int, high: int) -> DataFrame:
     """Files (file, first, last) whose reads [first, last) meet [low, high)."""
     return index.filter((F.col("first") < high) & (F.col("last") > low))
+
+
+def true_to_reference(overlaps: DataFrame, mapped: DataFrame) -> DataFrame:
+    """overlaps with ``truth``: whether the places of both reads on a reference (read_id, ref, start, stop) meet; overlaps of reads
+    without a place are left out."""
+    side = lambda k: mapped.select(F.col("read_id").alias(f"{k}read"), F.col("ref").alias(f"_r{k}"), F.col("start").alias(f"_s{k}"), F.col("stop").alias(f"_e{k}"))
+    both = overlaps.join(side("a"), "aread").join(side("b"), "bread")
+    meet = (F.col("_ra") == F.col("_rb")) & (F.col("_sa") < F.col("_eb")) & (F.col("_sb") < F.col("_ea"))
+    return both.withColumn("truth", meet).drop(*[f"_{c}{k}" for c in "rse" for k in "ab"])
+
+
+def as_records(overlaps: DataFrame) -> DataFrame:
+    """Alignment records of b reads on a reads as references: name, flags, ref_id, pos, cigar."""
+    return overlaps.select(F.concat(F.lit("b"), "bread").alias("name"), F.when(F.col("inv"), 16).otherwise(0).alias("flags"), F.col("aread").alias("ref_id"), F.col("abpos").alias("pos"), F.concat(F.col("aepos") - F.col("abpos"), F.lit("M")).alias("cigar"))

@@ -71,8 +71,7 @@ def _bam_folder(spark: SparkSession, sf_dir: str) -> str:
     bases = F.substring(F.repeat(F.lit("ACGGT"), 40), F.lit(1), C.read_length(F.col("cigar")).cast("int"))
     rows = _sam_rows(spark, sf_dir).withColumns({"next_ref_id": F.lit(-1), "seq": bases, "bin": coords.record_bin(F.col("pos"), C.reference_length(F.col("cigar"))).cast("int")})
     rows = rows.withColumn("cigar", C.to_text(F.col("cigar"))).orderBy(*coords.coordinate_key(F.col("ref_id"), F.col("pos")), "rank")
-    named = bam.as_files(rows, REFERENCES).withColumn("name", F.concat(F.lit("part-"), F.lpad(F.spark_partition_id().cast("string"), 5, "0"), F.lit(".bam")))
-    files.write_files(named, path).count()
+    bam.write(rows, REFERENCES, path)
     return path
 
 

@@ -142,10 +142,10 @@ def string_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.element_at(folds.borders(t), -1).alias("border"))
 
 
-@BOOK.add("SELECT p_partkey, CAST(max(k) AS INTEGER) AS length FROM (SELECT p_partkey, p_name, unnest(range(0, 13)) AS k FROM part) WHERE contains(p_name, substr('part_12 brow', 1, CAST(k AS INTEGER))) GROUP BY p_partkey")
+@BOOK.add("SELECT p_partkey, CAST(max(k) AS INTEGER) AS length FROM (SELECT p_partkey, p_name, unnest(range(0, 13)) AS k FROM part) WHERE contains(p_name, substr('small ringle', 1, CAST(k AS INTEGER))) GROUP BY p_partkey")
 def prefix_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest start of a needle that a name holds."""
-    return table(spark, sf_dir, "part").select("p_partkey", folds.needle_prefix("part_12 brow")(F.col("p_name")).alias("length"))
+    return table(spark, sf_dir, "part").select("p_partkey", folds.needle_prefix("small ringle")(F.col("p_name")).alias("length"))
 
 
 @BOOK.add("SELECT value, CAST(sum(n) AS BIGINT) AS n FROM (SELECT l_linenumber AS value, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT p_size AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT c_nationkey AS value, count(*) AS n FROM customer GROUP BY ALL) GROUP BY value")

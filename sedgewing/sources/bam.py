@@ -283,3 +283,17 @@ def as_files(rows: DataFrame, references: list[tuple[str, int]]) -> DataFrame:
 def with_digest(files: DataFrame) -> DataFrame:
     """(md5, bytes) of written contents."""
     return files.select(F.md5("content").alias("md5"), F.octet_length("content").alias("bytes"))
+
+
+def unmapped(reads: DataFrame) -> DataFrame:
+    """Records without a place of reads (id, seq, qual)."""
+    none = {c: F.lit(-1) for c in ("ref_id", "pos", "next_ref_id", "next_pos")}
+    return reads.select(F.regexp_extract("id", "^(\\S*)", 1).alias("name"), F.lit(4).alias("flags"), F.lit(0).alias("mapq"), F.lit("*").alias("cigar"), F.lit(0).alias("tlen"), "seq", "qual", *[c.alias(k) for k, c in none.items()])
+
+
+def write(rows: DataFrame, references: list[tuple[str, int]], folder: str) -> DataFrame:
+    """Writes a file for each partition; (path, bytes, md5) of the files."""
+    from sedgewing.sources.files import write_files
+
+    named = as_files(rows, references).withColumn("name", F.concat(F.lit("part-"), F.lpad(F.spark_partition_id().cast("string"), 5, "0"), F.lit(".bam")))
+    return write_files(named, folder)
