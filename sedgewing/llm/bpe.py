@@ -6,7 +6,9 @@ the leaves are encoded in parallel by the library, then joined pairwise: a growi
 encoded again until its outermost tokens agree with both sides. Every pair of neighbours then stands in some encoding, which
 for rank-ordered merges makes the whole sequence the encoding.
 
-Null text counts as empty and gives no token; repeated rows give repeated results; other columns are not read.
+Null text counts as empty and gives no token; repeated rows give repeated results; an empty table gives an empty result. A very
+long text is one row's work: its chunks are encoded one by one, and a long one without white space by leaves. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from sedgewing.llm.common import documents, small_batches, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of a pre-token from which the tree is used, and of a leaf.
-LONG, LEAF = 4096, 1024
+#: Letters of a pre-token beyond which the tree is used, and of a leaf; letters from which leaves are encoded in threads.
+LONG, LEAF, THREADED = 12, 8, 1 << 16
 #: Chunks that a worker remembers, and the longest of them.
 CACHE, CACHED_BYTES = 600_000, 64
 #: What the short way below is sound for: letters that lower one to one and never compose, then signs without an apostrophe
@@ -92,6 +94,7 @@ class Codec:
         self.plain = spec["normalizer"] == NORMALIZER and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"]["Regex"] == PRE_TOKENS
         self.ids: dict[bytes, bytes] = {}
         self.texts: dict[bytes, bytes] = {}
+        self.through_tree = 0  # letters of the pre-tokens that the tree has encoded
 
     def _text(self, i: int) -> str:
         t = self.token[i]
@@ -104,8 +107,13 @@ class Codec:
         """Encoding of one long pre-token in the vocabulary's byte letters."""
         cuts = list(range(0, len(piece), self.leaf))
         leaves = [piece[i : i + self.leaf] for i in cuts]
-        with ThreadPoolExecutor(4) as pool:
-            parts = [*pool.map(lambda x: self._piece(x, False), leaves[:-1]), self._piece(leaves[-1], True)]
+        self.through_tree += len(piece)
+        if len(piece) < THREADED:
+            parts = [self._piece(x, False) for x in leaves[:-1]]
+        else:
+            with ThreadPoolExecutor(4) as pool:
+                parts = [*pool.map(lambda x: self._piece(x, False), leaves[:-1])]
+        parts.append(self._piece(leaves[-1], True))
         while len(parts) > 1:
             joined = [join(parts[i], parts[i + 1], self._text, self._piece, i + 2 == len(parts)) for i in range(0, len(parts) - 1, 2)]
             parts = joined + parts[len(joined) * 2 :]
@@ -137,8 +145,9 @@ class Codec:
         plain = {x for m in parts if m for x in (m[1].lower(), m[2]) if x and x.encode() not in self.ids}
         plain = list(plain)
         mapped = [x if x.isascii() else "".join([_BYTE_LETTERS[b] for b in x.encode()]) for x in plain]
-        for x, e in zip(plain, self.last.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
-            self._keep(x.encode(), e.ids, self.ids, self.texts)
+        whole = iter(self.last.encode_batch_fast([x for x in mapped if len(x) <= self.long], add_special_tokens=False))
+        for x, letters in zip(plain, mapped, strict=True):
+            self._keep(x.encode(), next(whole).ids if len(letters) <= self.long else self.tree(letters), self.ids, self.texts)
         other = [i for i, (m, w) in enumerate(zip(parts, words, strict=True)) if not m and len(w) <= self.long]
         found = dict(zip(other, (e.ids for e in self.whole.encode_batch_fast([words[i] for i in other], add_special_tokens=False)), strict=True))
         ids, texts = {}, {}
