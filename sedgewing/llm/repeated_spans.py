@@ -385,28 +385,31 @@ def spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[
     # one row of each different context, the copy with the least (d, at)
     contexts = tables.saved(near.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "at")).alias("w")).select("f", "c", "n", "w.*"), "contexts")
     per_anchor = tables.saved(contexts.groupBy("f").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).filter("m > 1 AND open = 1").select("f", (F.col("m") > group).alias("hot")), "open-anchors")
-    wanted = tables.saved(contexts.join(per_anchor, "f").select("f", "n", "hot", "d", "at"), "wanted")
+    wanted = tables.saved(contexts.join(per_anchor, "f").select("f", "n", "d", "at"), "wanted")
+    is_hot = tables.saved(per_anchor.filter("hot").select("f"), "hot-anchors")
+    # every step ends in a table, so that the shuffle files of one are gone before the next one begins
+    key = F.struct("f", "c")
+    twice = tables.saved(contexts.filter("n > 1").select(key.alias("k"), "n"), "repeated-contexts")
+    tables.drop(contexts, per_anchor, shared)
+    many = hot_keys(twice, "k", "n", total)
+    whole = salted_join(near.select(key.alias("k"), "d", "at"), twice.select("k"), "k", many, F.xxhash64("d", "at"))
+    long = F.when(_placed("stop") - _placed("low") >= LENGTH, _placed("stop")).otherwise(F.lit(0))
+    whole = tables.saved(whole.select("d", _placed("low").alias("start"), (_placed("high") + PASSAGE).alias("short"), long.alias("long")), "whole-contexts")
+    tables.drop(near, twice)
     asked = F.struct("f", "n", *[_placed(x).alias(x) for x in ("low", "high", "stop", "back")])
     by_text = wanted.groupBy("d").agg(F.collect_list(asked).alias("wanted"))
     holders = KeyFilter(wanted, "d", wanted.count()).mark(texts, "d", "_hit").filter("_hit").select("d", "text")
     fetched = _fetched(holders.join(by_text, "d"))
-    is_hot = tables.saved(per_anchor.filter("hot").select("f"), "hot-anchors")
     if is_hot.isEmpty():
         cool, hot = fetched, None
     else:
         cool, hot = fetched.join(is_hot, "f", "left_anti"), fetched.join(is_hot, "f", "left_semi")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    removed = _compared(cool.repartition(parts, "f").sortWithinPartitions("f"))
+    removed = tables.saved(_compared(cool.repartition(parts, "f").sortWithinPartitions("f")), "compared")
     if hot is not None:
         removed = removed.unionByName(_repeated_of_hot(hot, tables))
     short = F.col("size") == PASSAGE
     removed = removed.select("d", "start", F.when(short, F.col("end")).otherwise(0).alias("short"), F.when(short, 0).otherwise(F.col("end")).alias("long"))
-    key = F.struct("f", "c")
-    twice = tables.saved(contexts.filter("n > 1").select(key.alias("k"), "n"), "repeated-contexts")
-    many = hot_keys(twice, "k", "n", total)
-    whole = salted_join(near.select(key.alias("k"), "d", "at"), twice.select("k"), "k", many, F.xxhash64("d", "at"))
-    long = F.when(_placed("stop") - _placed("low") >= LENGTH, _placed("stop")).otherwise(F.lit(0))
-    whole = whole.select("d", _placed("low").alias("start"), (_placed("high") + PASSAGE).alias("short"), long.alias("long"))
     out = tables.saved(removed.unionByName(whole).groupBy("d").agg(F.sort_array(F.collect_list(F.struct("start", "short", "long"))).alias("spans")), "spans")
     tables.drop_all_but(out, copies)
     return out, copies, odd
