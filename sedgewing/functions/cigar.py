@@ -90,6 +90,28 @@ def reference_advance(cigar: Column) -> Column:
     return reference_length(cigar) - leading(cigar, BEFORE_MATCH, {"D": 1, "N": 1})
 
 
+def measures(cigar: Column) -> Column:
+    """All lengths and clips of a CIGAR in one pass: read, reference, front_soft, front_hard, back_soft, back_hard, before_match (insertions
+    less deletions and skips) and before_advance (deletions and skips before the first match)."""
+    names = ("read", "reference", "front_soft", "front_hard", "back_soft", "back_hard", "before_match", "before_advance")
+    zero = F.lit(0).cast("long")
+
+    def step(s: Column, x: Column) -> Column:
+        op, n = x["op"], x["len"]
+        clip = op.isin("S", "H")
+        front, open_ = s["front"] & clip, s["open"] & op.isin(*BEFORE_MATCH)
+        add = lambda name, when: (s[name] + F.when(when, n).otherwise(F.lit(0))).alias(name)
+        back = lambda name, letter: F.when(clip, s[name] + F.when(op == letter, n).otherwise(F.lit(0))).otherwise(zero).alias(name)
+        before = F.when(open_, F.when(op == "I", n).when(op.isin("D", "N"), -n).otherwise(F.lit(0))).otherwise(F.lit(0))
+        return F.struct(
+            add("read", op.isin(*READ_OPS)), add("reference", op.isin(*REFERENCE_OPS)), add("front_soft", front & (op == "S")), add("front_hard", front & (op == "H")),
+            back("back_soft", "S"), back("back_hard", "H"), (s["before_match"] + before).alias("before_match"), add("before_advance", open_ & op.isin("D", "N")), front.alias("front"), open_.alias("open"),
+        )
+
+    start = F.struct(*[zero.alias(n) for n in names], F.lit(True).alias("front"), F.lit(True).alias("open"))
+    return F.aggregate(cigar, start, step, lambda s: F.struct(*[s[n].alias(n) for n in names]))
+
+
 def alignment_end(pos: Column, cigar: Column) -> Column:
     return pos + reference_length(cigar) - 1
 

@@ -37,7 +37,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value
 
 
 def largest_smaller(queries: DataFrame, index: DataFrame, key: str, out: str = "found", stretch: int | None = None) -> DataFrame:
-    """queries with the largest key of the index that is strictly smaller; where none is, the index's least key."""
+    """queries with the largest key of the index that is strictly smaller; where none is, the index's least key. Keys are dealt by
+    stretches of numbers, by default a few for each task."""
+    if stretch is None:
+        low, high = index.agg(F.min(key), F.max(key)).first()
+        tasks = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        stretch = max(1, int(((high or 0) - (low or 0)) // tasks) + 1)
     one = queries.withColumn("_k", F.lit(0))
     keys = index.select(F.lit(0).alias("_k"), key, F.col(key).alias("_v"))
     found = asof_join(one, keys, ["_k"], key, "_v", stretch, strict=True, out=out)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sedgewing.functions import cigar as C
 from sedgewing.functions import flags as G
+from sedgewing.operators.skew import with_key_rows
 
 PAIR_KEY = ["lib", "tag", "ref1", "coord1", "orient", "ref2", "coord2"]
 FRAGMENT_KEY = ["lib", "tag", "ref1", "coord1", "orient"]
@@ -17,8 +18,8 @@ FRAGMENT_KEY = ["lib", "tag", "ref1", "coord1", "orient"]
 
 def mark_best(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
     """df with ``is_dup``: false for the row of the highest score, ties going to the smallest ``tie``."""
-    best = df.groupBy(*keys).agg(F.max_by(F.col(tie), F.struct(F.col(score), -F.col(tie))).alias("_best"))
-    return df.join(best, keys).withColumn("is_dup", F.col(tie) != F.col("_best")).drop("_best")
+    best = df.groupBy(*keys).agg(F.max_by(F.col(tie), F.struct(F.col(score), -F.col(tie))).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    return with_key_rows(df, best, keys, "_n").withColumn("is_dup", F.col(tie) != F.col("_best")).drop("_best")
 
 
 def mark_pairs(pairs: DataFrame, score: str = "score", index: str = "idx1", keys: list[str] | None = None) -> DataFrame:
@@ -31,8 +32,8 @@ def mark_fragments(ends: DataFrame, is_pair: str = "is_pair", score: str = "scor
     highest score stays; ends of pairs are never marked."""
     keys = keys or FRAGMENT_KEY
     fragment = ~F.col(is_pair)
-    state = ends.groupBy(*keys).agg(F.max(is_pair).alias("_paired"), F.max_by(F.when(fragment, F.col(index)), F.when(fragment, F.struct(F.col(score), -F.col(index)))).alias("_best"))
-    return ends.join(state, keys).withColumn("is_dup", fragment & (F.col("_paired") | (F.col(index) != F.col("_best")))).drop("_paired", "_best")
+    state = ends.groupBy(*keys).agg(F.max(is_pair).alias("_paired"), F.max_by(F.when(fragment, F.col(index)), F.when(fragment, F.struct(F.col(score), -F.col(index)))).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    return with_key_rows(ends, state, keys, "_n").withColumn("is_dup", fragment & (F.col("_paired") | (F.col(index) != F.col("_best")))).drop("_paired", "_best")
 
 
 def mark_optical(pairs: DataFrame, distance: int = 100, keys: list[str] | None = None, index: str = "idx1") -> DataFrame:

@@ -21,26 +21,51 @@ def _islands(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
 def merged(df: DataFrame, keys: list[str], gap: int = 0, width: int | None = None) -> DataFrame:
     """Maximal unions per key. gap 0 joins intervals that share a point, 1 those that touch, more those that lie so near.
 
-    With ``width`` intervals are merged per key and stretch of that many positions first, so that one key's rows are reduced by
-    many tasks before they meet."""
+    Intervals are merged per key and stretch of ``width`` positions first (by default 1/256 of all that are reached), so that one key's
+    rows are reduced by many tasks before they meet."""
     rows = df.filter("start <= stop").select(*keys, "start", "stop")
-    if width:
-        rows = _islands(rows.withColumn("_stretch", F.floor(F.col("start") / width)), [*keys, "_stretch"], gap).drop("_stretch")
+    if not width:
+        low, high = rows.agg(F.min("start"), F.max("stop")).first()
+        width = max(1, int(((high or 0) - (low or 0)) // 256))
+    rows = _islands(rows.withColumn("_stretch", F.floor(F.col("start") / width)), [*keys, "_stretch"], gap).drop("_stretch")
     return _islands(rows, keys, gap)
 
 
-def _binned(df: DataFrame, width: int) -> DataFrame:
-    first, last = F.floor(F.col("start") / width).cast("long"), F.floor(F.col("stop") / width).cast("long")
-    return df.filter("start <= stop").withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last)))
+#: Bins that one interval takes at its level; a longer one goes to a level of bins so many times as wide.
+MOST_BINS = 64
+
+
+def _level(width: int) -> Column:
+    """0 for intervals of up to MOST_BINS bins, 1 for those of up to MOST_BINS as many, and so on."""
+    bins = (F.col("stop") - F.col("start")) / F.lit(width) / F.lit(MOST_BINS)
+    return F.when(bins < 1, F.lit(0)).otherwise((F.floor(F.log(float(MOST_BINS), bins)) + 1).cast("int"))
+
+
+def _highest(width: int, *sides: DataFrame) -> int:
+    """The highest level of any interval; a few at most."""
+    return max(d.filter("start <= stop").agg(F.coalesce(F.max(_level(width)), F.lit(0))).first()[0] for d in sides)
+
+
+def _binned(df: DataFrame, width: int, highest: int) -> DataFrame:
+    """df with ``_level`` and ``_bin``, a row for each bin that an interval reaches at its own level and at those above it, up to the
+    highest: MOST_BINS + 1 rows and two for each further level, however long it is. _own is the interval's level, _first its first
+    bin at ``_level``."""
+    own = df.filter("start <= stop").withColumn("_own", _level(width) if highest else F.lit(0))
+    own = own.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(highest)))) if highest else own.withColumn("_level", F.lit(0))
+    size = F.lit(width) * F.pow(F.lit(MOST_BINS), F.col("_level")) if highest else F.lit(width)
+    first, last = F.floor(F.col("start") / size).cast("long"), F.floor(F.col("stop") / size).cast("long")
+    return own.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
 def range_join(a: DataFrame, b: DataFrame, keys: list[str], width: int, how: str = "inner") -> DataFrame:
     """All pairs of intervals that share a point; columns of b get the suffix _b. Both sides are cut into bins and joined on
-    them; a pair is taken in the first bin that both reach, so none comes twice."""
+    them; a pair is taken at the level of the longer one, in the first bin that both reach, so none comes twice."""
     b = b.select(*keys, *[F.col(c).alias(f"{c}_b" if c not in keys else c) for c in b.columns if c not in keys])
-    right = _binned(b.withColumnsRenamed({"start_b": "start", "stop_b": "stop"}), width).withColumnsRenamed({"start": "start_b", "stop": "stop_b", "_first": "_first_b"})
-    on = (F.col("start") <= F.col("stop_b")) & (F.col("start_b") <= F.col("stop")) & (F.col("_bin") == F.greatest("_first", "_first_b"))
-    joined = _binned(a, width).join(right, [*keys, "_bin"]).filter(on).drop("_bin", "_first", "_first_b")
+    plain = b.withColumnsRenamed({"start_b": "start", "stop_b": "stop"})
+    highest = _highest(width, a, plain)
+    right = _binned(plain, width, highest).withColumnsRenamed({"start": "start_b", "stop": "stop_b", "_first": "_first_b", "_own": "_own_b"})
+    on = (F.col("start") <= F.col("stop_b")) & (F.col("start_b") <= F.col("stop")) & (F.col("_bin") == F.greatest("_first", "_first_b")) & (F.col("_level") == F.greatest("_own", "_own_b"))
+    joined = _binned(a, width, highest).join(right, [*keys, "_level", "_bin"]).filter(on).drop("_bin", "_level", "_first", "_first_b", "_own", "_own_b")
     if how == "inner":
         return joined
     if how == "left_semi":
@@ -50,11 +75,13 @@ def range_join(a: DataFrame, b: DataFrame, keys: list[str], width: int, how: str
 
 def stab(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, width: int) -> DataFrame:
     """points with the number of intervals that hold them."""
-    bins = _binned(intervals, width).select(*keys, "_bin", "start", "stop")
-    placed = points.withColumn("_bin", F.floor(F.col(point) / width).cast("long"))
+    highest = _highest(width, intervals)
+    bins = _binned(intervals, width, highest).filter("_level = _own").select(*keys, "_level", "_bin", "start", "stop")
+    each = points.select(*keys, point).distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(highest))))
+    each = each.withColumn("_bin", F.floor(F.col(point) / (F.lit(width) * F.pow(F.lit(MOST_BINS), F.col("_level")))).cast("long"))
     inside = F.count_if((F.col("start") <= F.col(point)) & (F.col(point) <= F.col("stop"))).alias("hits")
-    cells = placed.select(*keys, "_bin", point).distinct().join(bins, [*keys, "_bin"]).groupBy(*keys, "_bin", point).agg(inside)
-    return placed.join(cells, [*keys, "_bin", point], "left").drop("_bin").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
+    cells = each.join(bins, [*keys, "_level", "_bin"]).groupBy(*keys, point).agg(inside)
+    return points.join(cells, [*keys, point], "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
 
 
 def difference(a: DataFrame, b: DataFrame, keys: list[str], id_col: str, width: int) -> DataFrame:

@@ -22,10 +22,11 @@ _A = f"({ALIGNMENTS_SQL})"
 
 @BOOK.add(f"SELECT rank, cs + ce + ci + cx + ce2 AS read_len, ce + cx + cd + ce2 AS ref_len, cs AS front, ch AS back, cs AS front_soft, CAST(0 AS BIGINT) AS back_soft, CAST(0 AS BIGINT) AS front_hard, ch AS back_hard, ce + cx + cd + ce2 AS advance, CAST(0 AS BIGINT) AS before_match FROM {_A}")
 def cigar_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("cigar")
-    return alignments(spark, sf_dir).select(
-        "rank", C.read_length(c).alias("read_len"), C.reference_length(c).alias("ref_len"), C.front_clip(c).alias("front"), C.back_clip(c).alias("back"), C.front_soft_clip(c).alias("front_soft"), C.back_soft_clip(c).alias("back_soft"),
-        C.front_hard_clip(c).alias("front_hard"), C.back_hard_clip(c).alias("back_hard"), C.reference_advance(c).alias("advance"), C.offset_before_match(c).alias("before_match"),
+    m = lambda name: F.col(f"m.{name}")
+    rows = alignments(spark, sf_dir).select("rank", C.measures(F.col("cigar")).alias("m"))
+    return rows.select(
+        "rank", m("read").alias("read_len"), m("reference").alias("ref_len"), (m("front_soft") + m("front_hard")).alias("front"), (m("back_soft") + m("back_hard")).alias("back"), m("front_soft").alias("front_soft"), m("back_soft").alias("back_soft"),
+        m("front_hard").alias("front_hard"), m("back_hard").alias("back_hard"), (m("reference") - m("before_advance")).alias("advance"), m("before_match").alias("before_match"),
     )
 
 
