@@ -308,6 +308,24 @@ def test_unmarked_pages_lose_no_block(spark):
     assert got == {x[0]: x[3] for x in rows}
 
 
+def test_wrapper_finds_the_template_where_no_tag_tells(spark):
+    """Elements and classes say nothing here: only the alignment of a host's pages tells template from content. Without the wrapper
+    the same pages give another text."""
+
+    def html(k):
+        body = "".join(f"<p>Part {i} of story {k} is told here in words.</p>" for i in range(k % 4 + 1))
+        return f"<body><div><p>You are reading the daily paper of the town.</p></div><div><h1>Story {k}</h1>{body}</div><div><p>Printed on recycled paper since long ago.</p></div></body>"
+
+    def text(k):
+        return " ".join([f"Story {k}", *[f"Part {i} of story {k} is told here in words." for i in range(k % 4 + 1)]])
+
+    rows = [(k, "http://town.example.com/", html(k)) for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()} == {k: text(k) for k in range(8)}
+    plain = [html_text.extracted(h, html_text.Wrapper(None)) for _, _, h in rows]
+    assert all(p.startswith("You are reading") and p.endswith("since long ago.") for p in plain)
+
+
 def test_wrappers_forget_no_node(monkeypatch):
     monkeypatch.setattr(html_text, "MAX_NODES", 100)
     name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03}")
