@@ -115,6 +115,14 @@ def library_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("lib", dedup.library_size(F.col("n"), F.col("c")).alias("library_size"))
 
 
-@BOOK.add()
+_OVER = "c / ((lo + hi) / 2 * c) - 1 + exp(-n / ((lo + hi) / 2 * c))"
+
+
+@BOOK.add(_METRICS.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + f"""
+    , p AS (SELECT lib, CAST(pairs - optical AS DOUBLE) AS n, CAST(pairs - pair_dup AS DOUBLE) AS c FROM g WHERE optical < pair_dup),
+    s AS (SELECT 0 AS i, lib, n, c, CAST(1.0 AS DOUBLE) AS lo, CAST(100.0 AS DOUBLE) AS hi FROM p
+          UNION ALL SELECT i + 1, lib, n, c, CASE WHEN {_OVER} > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_OVER} > 0 THEN hi ELSE (lo + hi) / 2 END FROM s WHERE i < 40),
+    z AS (SELECT lib, n, c, floor(c * (lo + hi) / 2) AS size, CAST(unnest(range(1, 101)) AS INTEGER) AS x FROM s WHERE i = 40)
+    SELECT lib, x, round(size * (1 - exp(-(x * n) / size)) / c, 6) AS roi FROM z""")
 def roi_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.roi_histogram(_metrics(spark, sf_dir)).select("lib", "x", F.round("roi", 6).alias("roi"))
