@@ -273,3 +273,19 @@ def needle_prefix(needle: str):
 def increasing_lengths(x: pd.Series) -> pd.Series:
     """The length of the longest strictly increasing subsequence that starts at each place."""
     return x.map(lambda v: None if v is None else increasing_from(list(v))[0])
+
+
+def positive_ends(trace: Column, match: int = 1, error: int = -1) -> Column:
+    """(prefix, suffix): the length of the longest start of a trace whose score is above 0, and the place of the longest such end;
+    0 and the trace's length where there is none."""
+
+    def last(letters: Column) -> Column:
+        state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("at"))
+
+        def step(s: Column, c: Column) -> Column:
+            total, i = s["sum"] + F.when(c == "=", match).otherwise(error), s["i"] + 1
+            return F.struct(i.alias("i"), total.alias("sum"), F.when(total > 0, i).otherwise(s["at"]).alias("at"))
+
+        return F.aggregate(letters, state, step, lambda s: s["at"])
+
+    return _once(_letters(trace), lambda x: F.struct(last(x).alias("prefix"), (F.size(x) - last(F.reverse(x))).alias("suffix")))

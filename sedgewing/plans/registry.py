@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "columns", "joins", "aggregates", "orders", "graphs", "texts", "streams", "more", "files", "numbers", "forms")
+MODULES = ("records", "columns", "joins", "aggregates", "orders", "graphs", "texts", "streams", "more", "files", "numbers", "forms", "blocks")
 
 
 def _books() -> list:
