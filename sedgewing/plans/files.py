@@ -293,7 +293,7 @@ def compressed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     for codec in ("gzip", "lz4", "snappy", "none"):
         path = _folder(spark, "lines")
         table(spark, sf_dir, "customer").select(F.concat_ws(",", "c_name", "c_mktsegment").alias("value")).write.text(path, compression=codec)
-        part = spark.read.text(path).select(F.col("value").alias("line"), F.length("value").alias("symbols"), F.lit(codec).alias("codec"))
+        part = spark.read.text(path).select(F.col("value").alias("line"), F.length("value").cast("long").alias("symbols"), F.lit(codec).alias("codec"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -133,7 +133,7 @@ def alignment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add(f"""
     WITH p AS (SELECT a.rank AS ra, b.rank AS rb, a.ref_id AS fa, b.ref_id AS fb, {_FIVE('a')} AS ca, {_FIVE('b')} AS cb, a.flags AS ga, b.flags AS gb, a.score + b.score AS score FROM {_PAIRS.format(join='')}),
     o AS (SELECT *, (fa, ca, ra) <= (fb, cb, rb) AS first FROM p)
-    SELECT CASE WHEN first THEN ra ELSE rb END AS idx1, CASE WHEN first THEN fa ELSE fb END + 1 AS ref1, CASE WHEN first THEN ca ELSE cb END + 1 AS coord1, CASE WHEN first THEN fb ELSE fa END + 1 AS ref2, CASE WHEN first THEN cb ELSE ca END + 1 AS coord2, score,
+    SELECT CASE WHEN first THEN ra ELSE rb END AS idx1, CAST(CASE WHEN first THEN fa ELSE fb END + 1 AS BIGINT) AS ref1, CASE WHEN first THEN ca ELSE cb END + 1 AS coord1, CAST(CASE WHEN first THEN fb ELSE fa END + 1 AS BIGINT) AS ref2, CASE WHEN first THEN cb ELSE ca END + 1 AS coord2, score,
            CASE WHEN (ga & 16) <> (gb & 16) THEN CASE WHEN ((CASE WHEN first THEN ga ELSE gb END) & 16) = 0 THEN 'FR' ELSE 'RF' END
                 WHEN ((ga & 16) <> 0) <> (((CASE WHEN first THEN ga ELSE gb END) & 64) <> 0) THEN 'FF' ELSE 'RR' END AS orient FROM o""")
 def pair_end_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
