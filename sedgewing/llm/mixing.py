@@ -16,7 +16,7 @@ An empty table gives an empty result. Other columns are kept by ``sampled`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedgewing.llm.common import documents, hot_keys, salted_join, saved, text_or_empty
@@ -63,9 +63,10 @@ def target_shares(cells: DataFrame, margin: str, given: dict[str, float] | None,
 
 
 def _raked(cells: DataFrame, margin: str, shares: DataFrame, goal: float) -> DataFrame:
-    have = cells.groupBy(margin).agg(F.sum(F.col("p") * F.col("tokens")).alias("_have")).join(shares, margin, "left")
+    # a window reads the cells once: an aggregate joined with them again would double the plan with every margin
+    have = F.sum(F.col("p") * F.col("tokens")).over(Window.partitionBy(margin))
     factor = F.when(F.col("_have") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(goal) / F.col("_have")).otherwise(F.lit(1.0))
-    return cells.join(have, margin).withColumn("p", F.col("p") * factor).drop("_have", "share")
+    return cells.withColumn("_have", have).join(shares, margin, "left").withColumn("p", F.col("p") * factor).drop("_have", "share")
 
 
 def fitted(lean: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
