@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from sedgewing.operators import pileup
 from sedgewing.plans import tables
 
 
@@ -15,3 +16,13 @@ def test_item_numbers_beyond_63_bits(spark):
     got = [r[0] for r in df.select(tables.item_number()).collect()]
     assert got == [(x + (1 << 63)) % (1 << 64) - (1 << 63) for x in exact]
     assert got[0] == exact[0]
+
+
+def test_md_of_records_in_all_pieces_and_without_a_reference(spark, monkeypatch):
+    monkeypatch.setattr(pileup, "PIECE", 8)
+    bases = "".join("ACGT"[(i * i + i // 3) % 4] for i in range(101))
+    records = [(i, 0, i, [(5, "=")], bases[i : i + 5]) for i in range(97)] + [(200, 0, 20, [(2, "="), (30, "N"), (3, "=")], bases[20:22] + bases[52:55]), (201, -1, 3, [(2, "=")], "AC"), (202, 7, 3, [(2, "=")], "AC"), (203, 0, -1, [(2, "=")], "AC")]
+    df = spark.createDataFrame(records, "rank long, ref_id int, pos int, cigar array<struct<len:int,op:string>>, seq string")
+    out = pileup.with_md(df, spark.createDataFrame([(0, bases), (1, "")], "ref_id int, bases string"))
+    got = {r["rank"]: (r["md"], r["nm"]) for r in out.collect()}
+    assert got == {i: ("5", 0) for i in range(97)} | {200: ("5", 0)} | {i: (None, None) for i in (201, 202, 203)}
