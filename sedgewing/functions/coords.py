@@ -10,10 +10,12 @@ def _first_bin(level: int) -> int:
     return ((1 << level * 3) - 1) // 7
 
 
-def reg2bin(beg: Column, end: Column, min_shift: int = 14, depth: int = 5) -> Column:
-    """The smallest bin of the hierarchy that holds [beg, end)."""
-    last, out = end - 1, F.lit(0).cast("long")
-    for level in range(1, depth + 1):
+def reg2bin(beg: Column, end: Column, min_shift: int = 14, depth: int = 5, widest: int = 0) -> Column:
+    """The smallest bin of the hierarchy that holds [beg, end). With a ``widest`` level there are no bins above it: what fits in none goes
+    to the one of that level in which it begins, and a search looks there as far back as the longest record reaches."""
+    last = end - 1
+    out = F.lit(_first_bin(widest)) + F.shiftright(beg.cast("long"), min_shift + 3 * (depth - widest)) if widest else F.lit(0).cast("long")
+    for level in range(max(1, widest), depth + 1):
         shift = min_shift + 3 * (depth - level)
         a, b = F.shiftright(beg.cast("long"), shift), F.shiftright(last.cast("long"), shift)
         out = F.when(a == b, F.lit(_first_bin(level)) + a).otherwise(out)
@@ -30,10 +32,10 @@ def reg2bins(beg: Column, end: Column, min_shift: int = 14, depth: int = 5) -> C
     return F.when(end > beg, F.flatten(F.array(*[of(level) for level in range(depth + 1)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def record_bin(pos: Column, ref_length: Column) -> Column:
+def record_bin(pos: Column, ref_length: Column, widest: int = 0) -> Column:
     """The bin of a record; without a position that of [-1, 0)."""
     end = pos + F.greatest(ref_length, F.lit(1))
-    return F.when(pos < 0, reg2bin(F.lit(-1), F.lit(0))).otherwise(reg2bin(pos, end))
+    return F.when(pos < 0, reg2bin(F.lit(-1), F.lit(0))).otherwise(reg2bin(pos, end, widest=widest))
 
 
 def parse_range(text: Column) -> Column:
@@ -60,10 +62,10 @@ def coordinate_key(ref_id: Column, pos: Column) -> list[Column]:
     return [F.when(ref_id < 0, F.lit(2**32) + ref_id).otherwise(ref_id).cast("long"), pos]
 
 
-def binning_index(records: DataFrame, ref_length: Column, min_shift: int = 14, depth: int = 5) -> DataFrame:
+def binning_index(records: DataFrame, ref_length: Column, min_shift: int = 14, depth: int = 5, widest: int = 0) -> DataFrame:
     """(ref_id, bin, n, first_pos, last_end): for each bin of the hierarchy the records that it is the smallest bin of."""
     stop = F.col("pos") + F.greatest(ref_length, F.lit(1))
-    placed = records.select("ref_id", "pos", stop.cast("long").alias("_stop"), reg2bin(F.col("pos"), stop, min_shift, depth).cast("int").alias("bin"))
+    placed = records.select("ref_id", "pos", stop.cast("long").alias("_stop"), reg2bin(F.col("pos"), stop, min_shift, depth, widest).cast("int").alias("bin"))
     return placed.groupBy("ref_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("_stop").alias("last_end"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from sedgewing.functions import coords
 from sedgewing.operators import pileup
 from sedgewing.plans import tables
 
@@ -26,3 +27,12 @@ def test_md_of_records_in_all_pieces_and_without_a_reference(spark, monkeypatch)
     out = pileup.with_md(df, spark.createDataFrame([(0, bases), (1, "")], "ref_id int, bases string"))
     got = {r["rank"]: (r["md"], r["nm"]) for r in out.collect()}
     assert got == {i: ("5", 0) for i in range(97)} | {200: ("5", 0)} | {i: (None, None) for i in (201, 202, 203)}
+
+
+def test_bins_with_a_widest_level(spark):
+    cut = F.struct(coords.reg2bin(F.col("a"), F.col("b")).alias("all"), coords.reg2bin(F.col("a"), F.col("b"), widest=3).alias("three"))
+    df = spark.createDataFrame([((1 << 20) - 5, (1 << 20) + 5), ((3 << 20) - 5, (3 << 20) + 5), (100, 200), ((1 << 17) - 1, (1 << 17) + 1)], "a long, b long").select("a", cut.alias("c"))
+    got = [(r["c"]["all"], r["c"]["three"]) for r in df.collect()]
+    assert got == [(9, 73), (9, 75), (4681, 4681), (73, 73)]
+    rows = spark.createDataFrame([(0, (1 << 20) - 5, 10)], "ref_id int, pos int, n int")
+    assert [r["bin"] for r in coords.binning_index(rows, F.col("n"), widest=3).collect()] == [73]
