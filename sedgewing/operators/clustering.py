@@ -16,15 +16,16 @@ def _centre_array(centres: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
 
 
-def nearest(vector: Column, centres: list[list[float]]) -> Column:
-    """(distance, at): the closest centre, the first of equally close ones. The centres are a parameter of k rows."""
-    cs = _centre_array(centres)
-    return F.array_min(F.transform(cs, lambda c, i: F.struct(squared_distance(vector, c).alias("distance"), i.alias("at"))))
+def nearest(vector: Column, centres: list[list[float]], last: bool = False) -> Column:
+    """(distance, at): the closest centre, the first (or the last) of equally close ones. The centres are a parameter of k rows."""
+    cs, sign = _centre_array(centres), -1 if last else 1
+    found = F.array_min(F.transform(cs, lambda c, i: F.struct(squared_distance(vector, c).alias("distance"), (i * sign).alias("at"))))
+    return F.struct(found["distance"].alias("distance"), (found["at"] * sign).alias("at")) if last else found
 
 
-def quantised(df: DataFrame, vector: str, centres: list[list[float]]) -> DataFrame:
-    """df with the number of the nearest centre and the squared distance to it."""
-    return df.withColumn("_n", nearest(F.col(vector).cast("array<double>"), centres)).withColumn("cluster", F.col("_n.at")).withColumn("distance", F.col("_n.distance")).drop("_n")
+def quantised(df: DataFrame, vector: str, centres: list[list[float]], last: bool = False) -> DataFrame:
+    """df with the number of the nearest centre (of equally close ones the first, or the last) and the squared distance to it."""
+    return df.withColumn("_n", nearest(F.col(vector).cast("array<double>"), centres, last)).withColumn("cluster", F.col("_n.at")).withColumn("distance", F.col("_n.distance")).drop("_n")
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 1, restarts: int = 1, rounds: int = 50, tolerance: float = 1e-6, id_col: str | None = None) -> tuple[list[list[float]], float]:

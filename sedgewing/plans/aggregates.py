@@ -140,7 +140,7 @@ _CENTRES = [[0.0, 0.0], [2000.0, 100000.0], [5000.0, 250000.0], [9000.0, 400000.
 @BOOK.add("SELECT o_orderkey, CAST(CASE WHEN o_totalprice < 50000 THEN 0 WHEN o_totalprice < 175000 THEN 1 WHEN o_totalprice < 325000 THEN 2 ELSE 3 END AS INTEGER) AS cluster FROM orders")
 def quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("v", F.array(F.col("o_totalprice")))
-    return clustering.quantised(o, "v", [[0.0], [100000.0], [250000.0], [400000.0]]).select("o_orderkey", "cluster")
+    return clustering.quantised(o, "v", [[0.0], [100000.0], [250000.0], [400000.0]], last=True).select("o_orderkey", "cluster")
 
 
 @BOOK.add()

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedgewing.functions import coords
-from sedgewing.operators import pileup
-from sedgewing.plans import tables
+from sedgewing.operators import clustering, pileup
+from sedgewing.plans import aggregates, tables
 
 
 def test_item_numbers_beyond_63_bits(spark):
@@ -36,3 +36,11 @@ def test_bins_with_a_widest_level(spark):
     assert got == [(9, 73), (9, 75), (4681, 4681), (73, 73)]
     rows = spark.createDataFrame([(0, (1 << 20) - 5, 10)], "ref_id int, pos int, n int")
     assert [r["bin"] for r in coords.binning_index(rows, F.col("n"), widest=3).collect()] == [73]
+
+
+def test_prices_between_two_centres(spark, tmp_path):
+    prices = [49_999.99, 50_000.0, 50_000.01, 174_999.99, 175_000.0, 325_000.0, 0.0, 500_000.0]
+    spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [r["cluster"] for r in aggregates.quantised(spark, str(tmp_path)).orderBy("o_orderkey").collect()] == [0, 1, 1, 1, 2, 3, 0, 3]
+    df = spark.createDataFrame([([5.0],)], "v array<double>")
+    assert clustering.quantised(df, "v", [[0.0], [10.0]]).first()["cluster"] == 0
