@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from sedgewing.functions import coords
-from sedgewing.operators import clustering, pileup
+from sedgewing.operators import aligners, clustering, pileup
 from sedgewing.plans import aggregates, tables
 
 
@@ -44,3 +45,55 @@ def test_prices_between_two_centres(spark, tmp_path):
     assert [r["cluster"] for r in aggregates.quantised(spark, str(tmp_path)).orderBy("o_orderkey").collect()] == [0, 1, 1, 1, 2, 3, 0, 3]
     df = spark.createDataFrame([([5.0],)], "v array<double>")
     assert clustering.quantised(df, "v", [[0.0], [10.0]]).first()["cluster"] == 0
+
+
+def test_each_pair_of_strings_is_aligned_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(a, b):
+        calls.add(1)
+        return aligners.align_global(a, b)
+
+    rows = [(i, x, y) for i, (x, y) in enumerate([("abc", "abd"), ("abc", "xbc"), ("", "ab"), (None, "a"), ("a", None)] * 40)]
+    df = spark.createDataFrame(rows, "i int, x string, y string")
+    want = [tuple(r) for r in aligners.aligned(df, "x", "y").select("i", "alignment.*").orderBy("i").collect()]
+    for most in (100, 1):
+        monkeypatch.setattr(aligners, "MOST_BROADCAST", most)
+        before = calls.value
+        got = aligners.aligned_once(df, "x", "y", counted).select("i", "alignment.*").orderBy("i").collect()
+        assert [tuple(r) for r in got] == want and calls.value - before == 3
+
+
+def _one_by_one(seqs):
+    seqs = sorted(seqs, key=lambda s: (-len(s), s))
+    columns = [{c: 1} for c in seqs[0]]
+    for n, s in enumerate(seqs[1:], 1):
+        now = "".join(max(sorted(c), key=lambda x: (c[x], x != "-")) for c in columns)
+        trace, i, j, out = aligners.align_global(now.replace("-", "\x00"), s)[5], 0, 0, []
+        for op in trace:
+            if op == "I":
+                out.append({"-": n, s[j]: 1})
+                j += 1
+                continue
+            letter = "-" if op == "D" else s[j]
+            columns[i][letter] = columns[i].get(letter, 0) + 1
+            out.append(columns[i])
+            i, j = i + 1, j + (op != "D")
+        columns = out
+    return "".join(max(sorted(c), key=lambda x: c[x]) for c in columns).replace("-", "")
+
+
+def test_consensus_of_many_copies(spark, monkeypatch):
+    draw = random.Random(7)
+    for _ in range(150):
+        some = ["".join(draw.choice("ACG") for _ in range(draw.randint(1, 8))) for _ in range(draw.randint(1, 5))]
+        copies = [draw.randint(1, 12) for _ in some]
+        whole = {}
+        for s, k in zip(some, copies, strict=True):
+            whole[s] = whole.get(s, 0) + k
+        assert aligners._consensus(list(whole.items())) == _one_by_one([s for s, k in whole.items() for _ in range(k)])
+    runs, align = [], aligners.align_global
+    monkeypatch.setattr(aligners, "align_global", lambda a, b: runs.append(1) or align(a, b))
+    assert aligners._consensus([("ACGTAC", 100_000), ("ACGTAN", 20_000)]) == "ACGTAC" and len(runs) < 10
+    df = spark.createDataFrame([(1, "ACGT"), (1, "ACGT"), (1, "ACG"), (1, None), (2, None), (3, "")], "g int, s string")
+    assert sorted(tuple(r) for r in aligners.consensus(df, "g", "s").collect()) == [(1, "ACGT", 3), (2, "", 0), (3, "", 0)]
