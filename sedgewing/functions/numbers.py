@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from sedgewing.functions.arithmetic import gcd, gcd_steps
+
 #: A rational as two 128-bit decimal numbers would overflow in chains; whole ratios of 64-bit numbers don't.
 RATIONAL = "struct<num:decimal(38,0),den:decimal(38,0)>"
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Of decimals, by Euclid's steps; 185 are enough for 38 digits."""
-    zero = F.lit(0).cast("decimal(38,0)")
-    state = F.struct(F.abs(a).cast("decimal(38,0)").alias("a"), F.abs(b).cast("decimal(38,0)").alias("b"))
-    step = lambda s, _: F.when(s["b"] == zero, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.when(s["b"] == zero, F.lit(1).cast("decimal(38,0)")).otherwise(s["b"])).cast("decimal(38,0)").alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(185)), state, step, lambda s: s["a"])
+    """Of decimals, by Euclid's steps; of those of up to 18 digits over 64-bit numbers."""
+    zero, whole = F.lit(0).cast("decimal(38,0)"), "decimal(38,0)"
+    x, y = F.abs(a).cast(whole), F.abs(b).cast(whole)
+    step = lambda s, _: F.when(s["b"] == zero, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.when(s["b"] == zero, F.lit(1).cast(whole)).otherwise(s["b"])).cast(whole).alias("b")))
+    long_way = F.aggregate(gcd_steps(x, y), F.struct(x.alias("a"), y.alias("b")), step, lambda s: s["a"])
+    small = F.greatest(x, y) < F.lit(10**18).cast(whole)
+    fits = lambda v: F.when(small, v).cast("long")
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(small, gcd(fits(x), fits(y)).cast(whole)).otherwise(long_way))
 
 
 def rational(num: Column, den: Column) -> Column:

@@ -9,6 +9,7 @@ from sedgewing.functions import arithmetic as A
 from sedgewing.functions import digests, numbers
 from sedgewing.functions import sequences as S
 from sedgewing.operators import clustering, folds, histograms, kmers, ordered, simulate
+from sedgewing.operators.skew import spread
 from sedgewing.plans import Book
 from sedgewing.plans.tables import table
 
@@ -19,7 +20,7 @@ BOOK = Book()
 def rationals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     x, y = numbers.rational(k + 1, size + 1), numbers.rational(size * 2 + 3, k % 97 + 1)
-    p = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), y.alias("y"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", x.alias("x"), y.alias("y"))
     total, product = numbers.plus(F.col("x"), F.col("y")), numbers.times(F.col("x"), F.col("y"))
     return p.select("p_partkey", total["num"].cast("long").alias("num"), total["den"].cast("long").alias("den"), product["num"].cast("long").alias("pnum"))
 
