@@ -6,6 +6,8 @@ skew handling."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -117,9 +119,20 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(letters(a), letters(b), lambda x, y: x != y), lambda d: d))
 
 
+#: Choices of places up to which k-mers are joined without those places.
+MOST_MASKS = 32
+
+
 def neighbours(queries: DataFrame, stored: DataFrame, kmer: str, mismatches: int, k: int) -> DataFrame:
-    """(query, kmer, distance): stored k-mers within so many mismatches of a query. k-mers are cut into mismatches + 1 parts, one of
-    which must agree; pairs are found by that part and then counted exactly."""
+    """(query, kmer, distance): stored k-mers within so many mismatches of a query. Where there are few choices of so many places, k-mers
+    are joined by what is left without them, which only neighbours share. Else they are cut into mismatches + 1 parts, one of which must
+    agree; pairs are found by that part and then counted exactly."""
+    if 0 < mismatches < k and comb(k, mismatches) <= MOST_MASKS:
+        left = lambda gone: F.concat(*[F.substring(F.col(kmer), i + 1, 1) for i in range(k) if i not in gone])
+        masks = F.array(*[F.struct(F.lit(i).alias("mask"), left(gone).alias("rest")) for i, gone in enumerate(combinations(range(k), mismatches))])
+        side = lambda d, c: d.select(F.col(kmer).alias(c), F.explode(masks).alias("_m")).select(c, F.col("_m.mask").alias("_mask"), F.col("_m.rest").alias("_rest"))
+        near = side(queries, "query").join(side(stored, "kmer"), ["_mask", "_rest"]).select("query", "kmer").distinct()
+        return near.withColumn("distance", hamming(F.col("query"), F.col("kmer"))).filter(F.col("distance") <= mismatches)
     parts = mismatches + 1
     cuts = [k * i // parts for i in range(parts + 1)]
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.substring(F.col(kmer), cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("piece")) for i in range(parts)])
