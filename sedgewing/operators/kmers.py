@@ -160,12 +160,13 @@ def best_segment(a: Column, b: Column, match: int = 1, mismatch: int = -2) -> Co
 
 def adapter_hits(reads: DataFrame, adapters: DataFrame, id_col: str, seq_col: str, seed: int, min_score: int, min_fraction: float, min_overlap_fraction: float, both_strands: bool = True) -> DataFrame:
     """(id, adapter, strand, offset, score, frac, pfrac): adapters that lie in reads. Equal seeds give an offset; along it the best
-    segment is scored by +1 and -2. ``adapters`` (adapter, seq) is a short list and may be broadcast by Spark."""
+    segment is scored by +1 and -2. ``adapters`` (adapter, seq) is a short list and may be broadcast by Spark; of the reads only windows
+    that may be seeds become rows."""
     a = adapters.select("adapter", F.lit(0).alias("strand"), F.col("seq").alias("_adp"))
     if both_strands:
         a = a.unionByName(adapters.select("adapter", F.lit(1).alias("strand"), S.reverse_complement(F.col("seq")).alias("_adp")))
     pieces = a.select("adapter", "strand", "_adp", F.posexplode(S.kmers(F.col("_adp"), seed)).alias("_apos", "kmer"))
-    found = windows(reads, id_col, seq_col, seed).join(pieces, "kmer").select(id_col, "adapter", "strand", (F.col("_apos") - F.col("at")).alias("offset")).distinct()
+    found = windows_among(reads, id_col, seq_col, seed, pieces.select("kmer")).join(pieces, "kmer").select(id_col, "adapter", "strand", (F.col("_apos") - F.col("at")).alias("offset")).distinct()
     found = found.join(a, ["adapter", "strand"]).join(reads.select(id_col, F.col(seq_col).alias("_seq")), id_col)
     in_read, in_adp = F.greatest(-F.col("offset"), F.lit(0)), F.greatest(F.col("offset"), F.lit(0))
     common = F.least(F.length("_seq") - in_read, F.length("_adp") - in_adp)

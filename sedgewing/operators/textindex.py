@@ -68,11 +68,12 @@ def unique_depths(lcp: DataFrame) -> DataFrame:
 
 
 def places(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern: str, k: int) -> DataFrame:
-    """(id, pattern, at): every place of patterns of at least k letters, by a join on their first k."""
-    from sedgewing.operators.kmers import windows
+    """(id, pattern, at): every place of patterns of at least k letters, by a join on their first k; only windows that may be among them
+    become rows."""
+    from sedgewing.operators.kmers import windows_among
 
     p = patterns.select(F.col(pattern).alias("pattern")).distinct().filter(F.length("pattern") >= k).withColumn("kmer", F.substring("pattern", 1, k))
-    found = windows(texts, id_col, text_col, k).join(p, "kmer").join(texts.select(id_col, F.col(text_col).alias("_t")), id_col)
+    found = windows_among(texts, id_col, text_col, k, p.select("kmer")).join(p, "kmer").join(texts.select(id_col, F.col(text_col).alias("_t")), id_col)
     return found.filter(F.substring(F.col("_t"), F.col("at") + 1, F.length("pattern")) == F.col("pattern")).select(F.col(id_col).alias("id"), "pattern", "at")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from sedgewing.functions import coords
-from sedgewing.operators import aligners, clustering, pileup
+from sedgewing.functions import arithmetic, coords, numbers
+from sedgewing.operators import aligners, clustering, kmers, pileup, textindex
 from sedgewing.plans import aggregates, tables
 
 
@@ -97,3 +98,43 @@ def test_consensus_of_many_copies(spark, monkeypatch):
     assert aligners._consensus([("ACGTAC", 100_000), ("ACGTAN", 20_000)]) == "ACGTAC" and len(runs) < 10
     df = spark.createDataFrame([(1, "ACGT"), (1, "ACGT"), (1, "ACG"), (1, None), (2, None), (3, "")], "g int, s string")
     assert sorted(tuple(r) for r in aligners.consensus(df, "g", "s").collect()) == [(1, "ACGT", 3), (2, "", 0), (3, "", 0)]
+
+
+def test_neighbours_meet_only_neighbours(spark):
+    words = [f"{a}{b}{c}{d}" for a in "ab" for b in "abc" for c in "ab" for d in "abcd"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for mismatches in (1, 2):
+        got = [tuple(r) for r in kmers.neighbours(df, df, "w", mismatches, 4).collect()]
+        want = {(x, y, n) for x in words for y in words if (n := sum(p != q for p, q in zip(x, y, strict=True))) <= mismatches}
+        assert len(got) == len(set(got)) and set(got) == want
+    # the join gives no pair that is none
+    plan = kmers.neighbours(df, df, "w", 1, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rest" in plan
+
+
+def test_only_stored_windows_become_rows(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("all windows became rows")
+
+    monkeypatch.setattr(kmers, "windows", refuse)
+    texts = spark.createDataFrame([(1, "xxabcdeabcdfyy"), (2, None), (3, "abc"), (4, "zzz\U0001f600abcde")], "id long, t string")
+    p = spark.createDataFrame([("abcde",), ("abcd",), ("ab",)], "p string")
+    assert sorted(tuple(r) for r in textindex.places(texts, p, "id", "t", "p", 4).collect()) == [(1, "abcd", 2), (1, "abcd", 7), (1, "abcde", 2), (4, "abcd", 4), (4, "abcde", 4)]
+    adapters = spark.createDataFrame([(7, "abcde")], "adapter long, seq string")
+    got = kmers.adapter_hits(texts, adapters, "id", "t", 4, 4, 0.5, 0.5, both_strands=False)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == [(1, 7, 0, -7, 4), (1, 7, 0, -2, 5), (4, 7, 0, -4, 5)]
+
+
+def test_divisors_of_small_and_large_numbers(spark):
+    fib = [1, 1]
+    while len(fib) < 185:
+        fib.append(fib[-1] + fib[-2])
+    draw = random.Random(3)
+    pairs = [(fib[i], fib[i - 1]) for i in (5, 40, 80, 86, 90, 120, 170, 180)] + [(fib[79], fib[80]), (0, 5), (5, 0), (0, 0), (10**18 * 6, 4), (-12, 18)]
+    pairs += [(g * draw.randrange(1, 10**d), g * draw.randrange(1, 10**d)) for d in (2, 8, 17) for g in (1, 12, 10**6) for _ in range(5)]
+    df = spark.createDataFrame([(str(a), str(b)) for a, b in pairs] + [(None, "3"), ("3", None)], "a string, b string")
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    got = [r[0] for r in df.select(numbers._gcd(whole("a"), whole("b"))).collect()]
+    assert [None if x is None else int(x) for x in got] == [math.gcd(a, b) for a, b in pairs] + [None, None]
+    small = [(a, b) for a, b in pairs if max(abs(a), abs(b)) < 1 << 63]
+    assert [r[0] for r in spark.createDataFrame(small, "a long, b long").select(arithmetic.gcd(F.col("a"), F.col("b"))).collect()] == [math.gcd(a, b) for a, b in small]
