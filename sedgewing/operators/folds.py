@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 
 def increasing_subsequence(x: list) -> list[int]:
@@ -103,21 +106,38 @@ def _once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _batch_gains(traces: pa.Array, match: int, error: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, bounds): running sums, from 0, over the letters of all traces of a batch one after the other, and where each trace begins and
+    ends in them. A letter that is not = is an error, however many bytes it has."""
+    traces = pc.fill_null(traces.cast(pa.large_string()), "")
+    raw = np.frombuffer(b"".join(t.encode() for t in traces.to_pylist()), dtype=np.uint8)
+    first = raw & 0xC0 != 0x80  # the other bytes go on with a letter
+    letters = raw[first]
+    sums = np.concatenate([[0], np.cumsum(np.where(letters == ord("="), match, error), dtype=np.int64)])
+    return sums, np.concatenate([[0], np.cumsum(pc.utf8_length(traces).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def window_errors(traces: pa.Array, width: int) -> pa.Array:
+    """The most errors in ``width`` successive operations of each trace."""
+    sums, bounds = _batch_gains(traces, 0, 1)
+    size = np.diff(bounds)
+    begin = np.repeat(bounds[:-1], size)
+    stop = np.arange(len(begin)) + 1
+    held = sums[stop] - sums[np.maximum(begin, stop - width)]
+    most = np.zeros(len(size), np.int64)
+    if len(held):
+        most[size > 0] = np.maximum.reduceat(held, bounds[:-1][size > 0])
+    return pa.array(most, pa.int32(), mask=traces.is_null().to_numpy(zero_copy_only=False))
+
+
 def window_error(trace: Column, width: int) -> Column:
     """The most errors (other letters than =) in ``width`` successive operations."""
-    all_errors = F.transform(_letters(trace), lambda c: (c != "=").cast("int"))
-    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"), F.lit(0).alias("i"))
-
-    def most(errors: Column) -> Column:
-        def step(s: Column, e: Column) -> Column:
-            leaves = F.when(s["i"] >= width, F.get(errors, s["i"] - width)).otherwise(F.lit(0))
-            now = s["now"] + e - leaves
-            return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"), (s["i"] + 1).alias("i"))
 
-        return F.aggregate(errors, state, step, lambda s: s["most"])
+    @arrow_udf(T.IntegerType())
+    def most(traces: pa.Array) -> pa.Array:
+        return window_errors(traces, width)
 
-    # the array is bound once, or each step would compute it anew
-    return F.get(F.transform(F.array(all_errors), most), 0)
+    return most(trace)
 
 
 def last_good_window(trace: Column, width: int, errors: int) -> Column:
@@ -275,17 +295,28 @@ def increasing_lengths(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else increasing_from(list(v))[0])
 
 
+def batch_ends(traces: pa.Array, match: int, error: int) -> pa.Array:
+    """(prefix, suffix) of each trace, as ``positive_ends`` says."""
+    sums, bounds = _batch_gains(traces, match, error)
+    size = np.diff(bounds)
+    some = size > 0
+    begin, end = np.repeat(bounds[:-1], size), np.repeat(bounds[1:], size)
+    place = np.arange(len(begin))
+    prefix, suffix = np.zeros(len(size), np.int64), size.copy()
+    if len(place):
+        starts = bounds[:-1][some]
+        prefix[some] = np.maximum.reduceat(np.where(sums[place + 1] > sums[begin], place + 1 - begin, 0), starts)
+        suffix[some] = np.minimum.reduceat(np.where(sums[end] > sums[place], place - begin, end - begin), starts)
+    fields = [pa.array(prefix, pa.int32()), pa.array(suffix, pa.int32())]
+    return pa.StructArray.from_arrays(fields, ["prefix", "suffix"], mask=traces.is_null())
+
+
 def positive_ends(trace: Column, match: int = 1, error: int = -1) -> Column:
     """(prefix, suffix): the length of the longest start of a trace whose score is above 0, and the place of the longest such end;
     0 and the trace's length where there is none."""
 
-    def last(letters: Column) -> Column:
-        state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("at"))
-
-        def step(s: Column, c: Column) -> Column:
-            total, i = s["sum"] + F.when(c == "=", match).otherwise(error), s["i"] + 1
-            return F.struct(i.alias("i"), total.alias("sum"), F.when(total > 0, i).otherwise(s["at"]).alias("at"))
-
-        return F.aggregate(letters, state, step, lambda s: s["at"])
+    @arrow_udf("prefix int, suffix int")
+    def ends(traces: pa.Array) -> pa.Array:
+        return batch_ends(traces, match, error)
 
-    return _once(_letters(trace), lambda x: F.struct(last(x).alias("prefix"), (F.size(x) - last(F.reverse(x))).alias("suffix")))
+    return ends(trace)

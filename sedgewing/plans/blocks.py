@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewing.operators import folds
+from sedgewing.operators.skew import spread
 from sedgewing.plans import Book
 from sedgewing.plans.tables import table
 from sedgewing.scratch import shared_dir
@@ -76,4 +77,5 @@ def positive_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     t = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.when((i * i + key) % 7 == 0, "X").otherwise("=")), "")
     ends = folds.positive_ends(t, 1, -4)
-    return table(spark, sf_dir, "orders").select("o_orderkey", ends["prefix"].alias("prefix"), ends["suffix"].alias("suffix"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", ends.alias("e"))
+    return o.select("o_orderkey", "e.prefix", "e.suffix")

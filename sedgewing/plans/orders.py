@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedgewing.functions import coords, names
 from sedgewing.operators import folds, ordered, overlaps
+from sedgewing.operators.skew import spread
 from sedgewing.plans import Book
 from sedgewing.plans.tables import ALIGNMENTS_SQL, OVERLAPS_SQL, alignments, table
 from sedgewing.plans.tables import overlaps as overlap_table
@@ -68,7 +69,7 @@ _TRACE = "[CASE WHEN (i * i + o_orderkey) % 7 = 0 THEN 1 ELSE 0 END FOR i IN ran
 @BOOK.add(f"SELECT o_orderkey, CAST(list_max([list_sum(e[k:k + 9]) FOR k IN range(1, 52)]) AS INTEGER) AS most, CAST(60 - list_sum(e) AS INTEGER) AS matches FROM (SELECT o_orderkey, {_TRACE} AS e FROM orders)")
 def window_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _trace(F.col("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", folds.window_error(t, 10).alias("most"), F.length(F.translate(t, "X", "")).alias("matches"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", folds.window_error(t, 10).alias("most"), F.length(F.translate(t, "X", "")).alias("matches"))
 
 
 @BOOK.add("""

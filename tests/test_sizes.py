@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from sedgewing.functions import arithmetic, coords, numbers
-from sedgewing.operators import aligners, clustering, kmers, pileup, textindex
+from sedgewing.operators import aligners, clustering, folds, kmers, pileup, textindex
 from sedgewing.plans import aggregates, tables
 
 
@@ -138,3 +138,32 @@ def test_divisors_of_small_and_large_numbers(spark):
     assert [None if x is None else int(x) for x in got] == [math.gcd(a, b) for a, b in pairs] + [None, None]
     small = [(a, b) for a, b in pairs if max(abs(a), abs(b)) < 1 << 63]
     assert [r[0] for r in spark.createDataFrame(small, "a long, b long").select(arithmetic.gcd(F.col("a"), F.col("b"))).collect()] == [math.gcd(a, b) for a, b in small]
+
+
+def test_traces_of_a_batch(spark):
+    draw = random.Random(5)
+    traces = [None, "", "=", "X", "\u00e9=\U0001f600", *["".join(draw.choice("==XID") for _ in range(draw.randint(0, 30))) for _ in range(200)], ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(traces)], "i int, t string").repartition(3)
+    e = folds.positive_ends(F.col("t"), 1, -2)
+    got = df.select("i", folds.window_error(F.col("t"), 4).alias("most"), e.alias("e")).orderBy("i").collect()
+
+    def score(t):
+        return sum(1 if c == "=" else -2 for c in t)
+
+    for t, r in zip(traces, got, strict=True):
+        if t is None:
+            assert r["most"] is None and r["e"] is None
+            continue
+        n = len(t)
+        assert r["most"] == max([sum(c != "=" for c in t[max(0, k - 4) : k]) for k in range(1, n + 1)], default=0)
+        assert tuple(r["e"]) == (max([k for k in range(1, n + 1) if score(t[:k]) > 0], default=0), min([k for k in range(n) if score(t[k:]) > 0], default=n))
+
+
+def test_costly_rows_of_one_file_are_dealt_out(spark, tmp_path):
+    from sedgewing.plans import blocks, more, orders
+
+    spark.range(1000).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for query in (orders.window_errors, blocks.positive_ends, more.noisy_reads):
+        used = query(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert len(used) >= 4 and sum(r["count"] for r in used) == 1000
