@@ -59,24 +59,25 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def write_file(folder: str, name: str, content: bytes) -> tuple[str, int, str]:
+    """Writes one file; (path, bytes, md5). It gets its name when it is whole, so a repeated task does no harm."""
+    fs, base = opened(folder)
+    fs.create_dir(base, recursive=True)
+    digest = hashlib.md5(content).hexdigest()
+    part = f"{base}/.{name}.{digest}"
+    with fs.open_output_stream(part) as out:
+        out.write(content)
+    fs.move(part, f"{base}/{name}")
+    return f"{folder}/{name}", len(content), digest
+
+
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes each row (name, content) as a file below the folder; (path, bytes, md5) of what was written. A file gets its name when
-    it is whole, so a repeated task does no harm."""
+    """Writes each row (name, content) as a file below the folder; (path, bytes, md5) of what was written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = opened(folder)
-        fs.create_dir(base, recursive=True)
         for batch in batches:
-            paths, sizes, sums = [], [], []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = f"{base}/.{name}.{hashlib.md5(content).hexdigest()}"
-                with fs.open_output_stream(part) as out:
-                    out.write(content)
-                fs.move(part, f"{base}/{name}")
-                paths.append(f"{folder}/{name}")
-                sizes.append(len(content))
-                sums.append(hashlib.md5(content).hexdigest())
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "bytes": pa.array(sizes, pa.int64()), "md5": pa.array(sums, pa.string())})
+            done = [write_file(folder, name.as_py(), content.as_py()) for name, content in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["path", "bytes", "md5"])
 
     from sedgewing.scratch import written
 

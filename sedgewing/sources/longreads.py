@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewing.sources.files import contents, opened
+from sedgewing.scratch import written
+from sedgewing.sources.files import contents, opened, write_file
 
 # fixed values: layouts of records and headers, letters, flag of an inverse overlap, spacing up to which a trace has bytes
 OVERLAP, HEAD, READ = "<6iI2i4x", "<qi", "<3i4xqqi4x"
@@ -61,6 +62,18 @@ def overlap_files(overlaps: DataFrame, tspace: int, block: str, prefix: str = "o
     return overlaps.select(block, *FIELDS).groupBy(block).applyInArrow(run, "name string, content binary")
 
 
+def write_overlap_files(overlaps: DataFrame, tspace: int, block: str, folder: str, prefix: str = "overlaps") -> DataFrame:
+    """Writes a sorted file for each value of ``block``; (path, bytes, md5). A task writes a block's file before it reads the next block,
+    so that it holds one file however many it has."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: [r[c] for c in FIELDS[:7]])
+        path, size, digest = write_file(folder, f"{prefix}.{key[0].as_py()}.las", overlap_file(rows, tspace))
+        return pa.table({"path": pa.array([path]), "bytes": pa.array([size], pa.int64()), "md5": pa.array([digest])})
+
+    return written(overlaps.select(block, *FIELDS).groupBy(block).applyInArrow(run, "path string, bytes long, md5 string"), "written-files")
+
+
 def read_overlaps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The overlaps of whole files; several files are one after the other."""
 

@@ -167,3 +167,14 @@ def test_costly_rows_of_one_file_are_dealt_out(spark, tmp_path):
     for query in (orders.window_errors, blocks.positive_ends, more.noisy_reads):
         used = query(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
         assert len(used) >= 4 and sum(r["count"] for r in used) == 1000
+
+
+def test_overlap_files_are_written_one_by_one(spark, tmp_path):
+    from sedgewing.sources import longreads
+
+    df = spark.range(600).select((F.col("id") % 30).alias("aread"), F.col("id").alias("bread"), F.lit(False).alias("inv"), *[F.lit(n).alias(c) for c, n in (("abpos", 0), ("aepos", 100), ("bbpos", 5), ("bepos", 95), ("diffs", 1))], F.array(F.struct(F.lit(1).alias("err"), F.lit(90).alias("blen"))).alias("trace"))
+    folder = f"file://{tmp_path}/las"
+    done = longreads.write_overlap_files(df.withColumn("block", F.floor(F.col("aread") / 8)), 100, "block", folder)
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in done.collect()) == [f"overlaps.{k}.las" for k in range(4)]
+    got = longreads.read_overlaps(spark, folder).select("aread", "bread")
+    assert sorted(map(tuple, got.collect())) == sorted((i % 30, i) for i in range(600))
