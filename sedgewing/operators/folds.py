@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
+from sedgewing.functions import cigar
+
 
 def increasing_subsequence(x: list) -> list[int]:
     """Places of one longest strictly increasing subsequence."""
@@ -202,10 +204,21 @@ def best_score(trace: Column, match: int = 1, error: int = -1) -> Column:
 
 def diagonals(trace: Column) -> Column:
     """(diagonal, matches): how many matches lie on each diagonal (a less b)."""
-    state = F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("out"))
-    step = lambda s, c: F.struct((s["d"] + F.when(c == "D", 1).when(c == "I", -1).otherwise(0)).alias("d"), F.when(c == "=", F.concat(s["out"], F.array(s["d"]))).otherwise(s["out"]).alias("out"))
-    on = F.aggregate(_letters(trace), state, step, lambda s: s["out"])
-    return _once(on, lambda o: F.transform(F.array_sort(F.array_distinct(o)), lambda d: F.struct(d.alias("diagonal"), F.size(F.filter(o, lambda x: x == d)).alias("matches"))))
+    return cigar_diagonals(cigar.from_trace(trace))
+
+
+def cigar_diagonals(elements: Column) -> Column:
+    """The same from a CIGAR: a step for each element, however long."""
+    state = F.struct(F.lit(0).alias("d"), F.array().cast("array<struct<d:int,n:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        moved = F.when(x["op"] == "D", x["len"]).when(x["op"] == "I", -x["len"]).otherwise(F.lit(0))
+        here = F.struct(s["d"].alias("d"), x["len"].alias("n"))
+        return F.struct((s["d"] + moved).alias("d"), F.when((x["op"] == "=") & (x["len"] > 0), F.concat(s["out"], F.array(here))).otherwise(s["out"]).alias("out"))
+
+    on = F.aggregate(elements, state, step, lambda s: s["out"])
+    total = lambda o, d: F.aggregate(F.filter(o, lambda x: x["d"] == d), F.lit(0), lambda n, x: n + x["n"])
+    return _once(on, lambda o: F.transform(F.array_sort(F.array_distinct(F.transform(o, lambda x: x["d"]))), lambda d: F.struct(d.alias("diagonal"), total(o, d).alias("matches"))))
 
 
 def chains(matches: DataFrame, keys: list[str], gap_cost: float = 0.5) -> DataFrame:

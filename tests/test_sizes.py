@@ -7,8 +7,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from sedgewing import scratch
 from sedgewing.functions import arithmetic, coords, numbers
-from sedgewing.operators import aligners, clustering, folds, kmers, pileup, textindex
+from sedgewing.operators import aligners, clustering, folds, graph, kmers, overlaps, pileup, textindex
 from sedgewing.plans import aggregates, tables
 
 
@@ -178,3 +179,10 @@ def test_overlap_files_are_written_one_by_one(spark, tmp_path):
     assert sorted(r["path"].rsplit("/", 1)[1] for r in done.collect()) == [f"overlaps.{k}.las" for k in range(4)]
     got = longreads.read_overlaps(spark, folder).select("aread", "bread")
     assert sorted(map(tuple, got.collect())) == sorted((i % 30, i) for i in range(600))
+
+
+def test_diagonals_of_elements_of_any_length(spark):
+    cigar = "array<struct<len:int,op:string>>"
+    rows = [([(5, "S"), (1_000_000_000, "="), (3, "D"), (7, "="), (3, "I"), (2, "X"), (1_000_000_000, "="), (4, "H")],), ([(3, "X")],), ([],)]
+    got = [[tuple(x) for x in r[0]] for r in spark.createDataFrame(rows, f"c {cigar}").select(folds.cigar_diagonals(F.col("c"))).collect()]
+    assert got == [[(0, 2_000_000_000), (3, 7)], [], []]
