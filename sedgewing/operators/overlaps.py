@@ -39,8 +39,18 @@ def asymmetric(overlaps: DataFrame, reads: DataFrame) -> DataFrame:
     return overlaps.select(*KEY, "diffs").exceptAll(swapped(overlaps, reads).select(*KEY, "diffs"))
 
 
+#: Rows whose keys one task puts together.
+UNIQUE_ROWS = 1_000_000
+
+
 def unique(overlaps: DataFrame) -> DataFrame:
-    return overlaps.dropDuplicates(KEY)
+    """One overlap of each key, that of the fewest differences. Rows are dealt by their keys to as many tasks as their number asks for, so
+    that a task's memory stays what it is however long the table; rows of one key are one in memory."""
+    tasks = max(overlaps.sparkSession.sparkContext.defaultParallelism, -(-overlaps.count() // UNIQUE_ROWS))
+    rest = [c for c in overlaps.columns if c not in KEY]
+    best = F.min("diffs").alias("diffs") if rest == ["diffs"] else F.min_by(F.struct(*rest), "diffs").alias("_r")
+    out = overlaps.repartition(tasks, *KEY).groupBy(*KEY).agg(best)
+    return out if rest == ["diffs"] else out.select(*KEY, "_r.*")
 
 
 def of_reads(overlaps: DataFrame, low: int, high: int) -> DataFrame:

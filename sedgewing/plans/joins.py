@@ -185,8 +185,7 @@ def set_except_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(f"SELECT aread, bread, inv, abpos, aepos, bbpos, bepos, round(diffs / CAST(aepos - abpos AS DOUBLE), 9) AS rate FROM (SELECT DISTINCT ON (aread, bread, inv, abpos, aepos, bbpos, bepos) * FROM ({OVERLAPS_SQL}) ORDER BY aread, bread, inv, abpos, aepos, bbpos, bepos, diffs)")
 def overlap_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = overlap_table(spark, sf_dir).groupBy(*overlaps.KEY).agg(F.min("diffs").alias("diffs"))
-    return overlaps.unique(o).select(*overlaps.KEY, F.round(overlaps.error_rate(F.col("diffs"), F.col("abpos"), F.col("aepos")), 9).alias("rate"))
+    return overlaps.unique(overlap_table(spark, sf_dir)).select(*overlaps.KEY, F.round(overlaps.error_rate(F.col("diffs"), F.col("abpos"), F.col("aepos")), 9).alias("rate"))
 
 
 @BOOK.add(f"SELECT aread, bread, count(*) AS n, CAST(sum(diffs) AS BIGINT) AS diffs, min(abpos) AS low FROM ({OVERLAPS_SQL}) WHERE aread >= 100 AND aread < 900 GROUP BY aread, bread")

@@ -186,3 +186,18 @@ def test_diagonals_of_elements_of_any_length(spark):
     rows = [([(5, "S"), (1_000_000_000, "="), (3, "D"), (7, "="), (3, "I"), (2, "X"), (1_000_000_000, "="), (4, "H")],), ([(3, "X")],), ([],)]
     got = [[tuple(x) for x in r[0]] for r in spark.createDataFrame(rows, f"c {cigar}").select(folds.cigar_diagonals(F.col("c"))).collect()]
     assert got == [[(0, 2_000_000_000), (3, 7)], [], []]
+
+
+
+
+def test_unique_overlaps_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "UNIQUE_ROWS", 100)
+    rows = [(i % 400, i % 7, i % 2 == 0, 100, 200, 50, 150, i % 10, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "aread long, bread long, inv boolean, abpos int, aepos int, bbpos int, bepos int, diffs int, more int")
+    least = {}
+    for r in rows:
+        least[r[:7]] = min(least.get(r[:7], 99), r[7])
+    got = overlaps.unique(df.drop("more"))
+    assert {tuple(r)[:7]: r["diffs"] for r in got.collect()} == least and got.rdd.getNumPartitions() == 30
+    whole = overlaps.unique(df).collect()
+    assert {tuple(r)[:7]: r["diffs"] for r in whole} == least and all(tuple(r) in rows for r in whole)
