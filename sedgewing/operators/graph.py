@@ -5,25 +5,44 @@ but counts."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgewing.scratch import written
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(node, depth): all nodes that the roots (node) reach, with the least number of edges; the roots are among them."""
-    pairs = edges.select(F.col("src"), F.col("dst").alias("node")).distinct()
-    seen = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
-    front, depth = seen, 0
+#: So many tables of levels, or of tables put together as often, become one.
+MOST_TABLES = 8
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int | None = None, both_ways: bool = False, stored: bool = False, hint: str | None = None) -> DataFrame:
+    """(node, depth): all nodes that the roots (node) reach, with the least number of edges; the roots are among them. With ``both_ways``
+    an edge leads either way. The edges are written once (``stored``: they are already), each level once and then only as often as tables
+    of levels are put together. ``hint`` is the strategy of the joins, if not the planner's."""
+    pairs = edges.select("src", F.col("dst").alias("node")).filter("src IS NOT NULL AND node IS NOT NULL")
+    pairs = pairs if stored else written(pairs, "edges")
+    ways = [pairs, pairs.select(F.col("node").alias("src"), F.col("src").alias("node"))] if both_ways else [pairs]
+    hinted = lambda d: d.hint(hint) if hint else d
+    front = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "front")
+    seen, depth = [(1, front)], 0
     while most_rounds is None or depth < most_rounds:
         depth += 1
-        step = front.select(F.col("node").alias("src")).join(pairs, "src").select("node").distinct().join(seen, "node", "left_anti")
+        near = hinted(front.select(F.col("node").alias("src")))
+        step = _union([near.join(w, "src").select("node") for w in ways]).distinct()
+        step = step.join(hinted(_union([d for _, d in seen]).select("node")), "node", "left_anti")
         front = written(step.withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             break
-        seen = written(seen.unionByName(front), "reached")
-    return seen
+        seen.append((1, front))
+        while len(seen) >= MOST_TABLES and seen[-1][0] == seen[-MOST_TABLES][0]:
+            seen[-MOST_TABLES:] = [(seen[-1][0] * MOST_TABLES, written(_union([d for _, d in seen[-MOST_TABLES:]]), "reached"))]
+    return _union([d for _, d in seen])
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> tuple[bool, DataFrame]:
@@ -51,29 +70,50 @@ def topological_positions(edges: DataFrame, nodes: DataFrame) -> tuple[bool, Dat
     return acyclic, numbered(found, ["level", "node"], "position").select("node", "position")
 
 
+def _on_cycles(edges: DataFrame) -> DataFrame:
+    """edges without those that begin where none ends or end where none begins; again while more than a tenth goes."""
+    left = edges.count()
+    while left:
+        before = left
+        behind, ahead = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = written(edges.join(behind.hint("merge"), "src", "left_semi").join(ahead.hint("merge"), "dst", "left_semi").select("src", "dst"), "edges")
+        left = edges.count()
+        if before - left <= before // 10:
+            break
+    return edges
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): the least node of each strongly connected component. Every round colours each open node with the least
-    node that reaches it; the nodes of a colour from which its name can be reached back are a component."""
-    open_nodes = written(nodes.select("node").distinct(), "open")
+    """(node, component): the least node of each strongly connected component. Every round colours each node of the edges that may lie on
+    a cycle with the least node that reaches it; the nodes of a colour from which its name can be reached back are a component. A node
+    of none is its own. The joins shuffle their sides: small ones would come to the driver in every round to be broadcast."""
     rest = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
-    done = None
-    while not open_nodes.isEmpty():
-        colour = written(open_nodes.withColumn("colour", F.col("node")), "colour")
+    done = []
+    while True:
+        rest = _on_cycles(rest)
+        if rest.isEmpty():
+            break
+        ends = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+        colour = written(ends.withColumn("colour", F.col("node")), "colour")
         while True:
-            best = rest.join(colour, rest["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("_c"))
-            now = written(colour.join(best, "node", "left").select("node", F.least("colour", "_c").alias("colour"), (F.col("_c") < F.col("colour")).alias("_changed")), "colour")
-            changed = not now.filter("_changed").isEmpty()
+            ahead = rest.join(colour.select(F.col("node").alias("src"), "colour").hint("merge"), "src").select(F.col("dst").alias("node"), "colour", F.lit(None).cast(rest.schema["dst"].dataType).alias("_was"))
+            now = ahead.unionByName(colour.withColumn("_was", F.col("colour"))).groupBy("node").agg(F.min("colour").alias("colour"), F.min("_was").alias("_was"))
+            now = written(now, "colour")
             colour = now.select("node", "colour")
-            if not changed:
+            if now.filter("colour < _was").isEmpty():
                 break
-        inner = rest.join(colour.withColumnsRenamed({"node": "src", "colour": "_a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "_b"}), "dst").filter("_a = _b")
-        inner = written(inner.select("src", "dst"), "inner")
-        found = reachable(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("node = colour").select("node"))
-        closed = written(found.select("node").join(colour, "node").select("node", F.col("colour").alias("component")), "closed")
-        done = closed if done is None else done.unionByName(closed)
-        open_nodes = written(open_nodes.join(closed, "node", "left_anti"), "open")
-        rest = written(rest.join(open_nodes.select(F.col("node").alias("src")), "src").join(open_nodes.select(F.col("node").alias("dst")), "dst").select("src", "dst"), "edges")
-    return done if done is not None else nodes.select("node", F.col("node").alias("component"))
+        side = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}")).hint("merge")
+        inner = written(rest.join(side("src"), "src").join(side("dst"), "dst").filter("_src = _dst").select("src", "dst"), "inner")
+        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = reachable(back, colour.filter("node = colour").select("node"), stored=True, hint="merge")
+        closed = written(found.select("node").join(colour.hint("merge"), "node").select("node", F.col("colour").alias("component")), "closed")
+        done.append(closed)
+        gone = lambda end: closed.select(F.col("node").alias(end)).hint("merge")
+        rest = written(inner.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst"), "edges")
+    nodes = nodes.select("node").filter("node IS NOT NULL").distinct()
+    if not done:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(_union(done).hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def merged_edges(*parts: DataFrame) -> DataFrame:

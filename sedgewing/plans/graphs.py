@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedgewing.operators import graph
 from sedgewing.plans import Book
 from sedgewing.plans.tables import table
+from sedgewing.scratch import written
 
 BOOK = Book()
 
@@ -16,9 +17,9 @@ _TRADE = "SELECT DISTINCT o_custkey AS a, -1 - l_suppkey AS b FROM lineitem JOIN
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge for each line, written once; copies stay, as putting them together costs more than they do."""
     t = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    one = t.select(F.col("o_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return written(t.select(F.col("o_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL"), "trade")
 
 
 def _reach_sql(rounds: int = 12) -> str:
@@ -34,7 +35,8 @@ def _reach_sql(rounds: int = 12) -> str:
 def reach_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the customer of the least number reaches over shared lines."""
     edges = _trade(spark, sf_dir)
-    return graph.reachable(edges, edges.filter("src >= 0").agg(F.min("src").alias("node")))
+    least = lambda c: F.min(F.when(F.col(c) >= 0, F.col(c)))
+    return graph.reachable(edges, edges.agg(F.least(least("src"), least("dst")).alias("node")), both_ways=True, stored=True)
 
 
 _DAG = "SELECT p_partkey AS src, 2 * p_partkey + 1 + p_size % 2 AS dst FROM part UNION SELECT p_partkey, 3 * p_partkey + 1 + p_size FROM part"
@@ -64,6 +66,7 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").filter("l_quantity < 4")
     part, supplier = F.col("l_partkey"), -1 - F.col("l_suppkey")
     e = t.filter("l_returnflag = 'R'").select(part.alias("src"), supplier.alias("dst")).union(t.filter("l_returnflag = 'A'").select(supplier, part)).distinct()
+    e = written(e, "returns")
     return graph.strong_components(e, e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
 
 

@@ -188,6 +188,35 @@ def test_diagonals_of_elements_of_any_length(spark):
     assert got == [[(0, 2_000_000_000), (3, 7)], [], []]
 
 
+def test_reached_levels_are_put_together_and_nulls_left_out(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_TABLES", 2)
+    names = []
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or scratch.written(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(0, None), (3, None), (None, 4), (9, 2)], "src long, dst long")
+    root = spark.createDataFrame([(0,)], "node long")
+    assert sorted(map(tuple, graph.reachable(edges, root).collect())) == [(i, i) for i in range(7)]
+    assert names.count("edges") == 1 and names.count("reached") == 4
+    assert sorted(map(tuple, graph.reachable(edges, root, both_ways=True).collect())) == [(i, i) for i in range(7)] + [(9, 3)]
+
+
+def test_strong_components_without_a_broadcast(spark):
+    rng = random.Random(11)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)] + [(i, i + 1) for i in range(100, 120)] + [(120, 110), (None, 5), (5, None)]
+    after = {n: {b for a, b in pairs if a == n and b is not None} for n in {x for p in pairs for x in p if x is not None}}
+
+    def reach(n):
+        found, todo = {n}, [n]
+        while todo:
+            for m in after[todo.pop()] - found:
+                found.add(m)
+                todo.append(m)
+        return found
+
+    reached = {n: reach(n) for n in after}
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got = graph.strong_components(edges, edges.select(F.col("src").alias("node")).union(edges.select("dst")))
+    assert dict(map(tuple, got.collect())) == {n: min(m for m in reached[n] if n in reached[m]) for n in after}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_unique_overlaps_are_dealt_by_their_number(spark, monkeypatch):
