@@ -16,23 +16,29 @@ PAIR_KEY = ["lib", "tag", "ref1", "coord1", "orient", "ref2", "coord2"]
 FRAGMENT_KEY = ["lib", "tag", "ref1", "coord1", "orient"]
 
 
-def mark_best(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
-    """df with ``is_dup``: false for the row of the highest score, ties going to the smallest ``tie``."""
-    best = df.groupBy(*keys).agg(F.max_by(F.col(tie), F.struct(F.col(score), -F.col(tie))).alias("_best"), F.count(F.lit(1)).alias("_n"))
+def _best_first(score: str, order: list[str]) -> Column:
+    """Greatest for the highest score, and the least in order of those."""
+    return F.struct(F.col(score), *[-F.col(c) for c in order])
+
+
+def mark_best(df: DataFrame, keys: list[str], score: str, tie: str, order: list[str] | None = None) -> DataFrame:
+    """df with ``is_dup``: false for the row of the highest score, ties going to the smallest ``tie``, or the first in ``order`` where
+    columns give another."""
+    best = df.groupBy(*keys).agg(F.max_by(F.col(tie), _best_first(score, order or [tie])).alias("_best"), F.count(F.lit(1)).alias("_n"))
     return with_key_rows(df, best, keys, "_n").withColumn("is_dup", F.col(tie) != F.col("_best")).drop("_best")
 
 
-def mark_pairs(pairs: DataFrame, score: str = "score", index: str = "idx1", keys: list[str] | None = None) -> DataFrame:
+def mark_pairs(pairs: DataFrame, score: str = "score", index: str = "idx1", keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Pairs of one key: the best score stays, ties to the first read's smallest index; each duplicate counts for two reads."""
-    return mark_best(pairs, keys or PAIR_KEY, score, index)
+    return mark_best(pairs, keys or PAIR_KEY, score, index, order)
 
 
-def mark_fragments(ends: DataFrame, is_pair: str = "is_pair", score: str = "score", index: str = "idx1", keys: list[str] | None = None) -> DataFrame:
+def mark_fragments(ends: DataFrame, is_pair: str = "is_pair", score: str = "score", index: str = "idx1", keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Ends of one key: where a pair's end is among them all fragments are duplicates; among fragments alone the first of the
     highest score stays; ends of pairs are never marked."""
     keys = keys or FRAGMENT_KEY
     fragment = ~F.col(is_pair)
-    state = ends.groupBy(*keys).agg(F.max(is_pair).alias("_paired"), F.max_by(F.when(fragment, F.col(index)), F.when(fragment, F.struct(F.col(score), -F.col(index)))).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    state = ends.groupBy(*keys).agg(F.max(is_pair).alias("_paired"), F.max_by(F.when(fragment, F.col(index)), F.when(fragment, _best_first(score, order or [index]))).alias("_best"), F.count(F.lit(1)).alias("_n"))
     return with_key_rows(ends, state, keys, "_n").withColumn("is_dup", fragment & (F.col("_paired") | (F.col(index) != F.col("_best")))).drop("_paired", "_best")
 
 

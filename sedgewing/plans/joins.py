@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sedgewing.functions import flags as G
 from sedgewing.operators import asof, intervals, ordered, overlaps, pairing
 from sedgewing.plans import Book
-from sedgewing.plans.tables import ALIGNMENTS_SQL, OVERLAPS_SQL, SPANS_SQL, alignments, order_spans, table
+from sedgewing.plans.tables import ALIGNMENTS_SQL, ORDER, OVERLAPS_SQL, SPANS_SQL, alignments, item_order, order_spans, table
 from sedgewing.plans.tables import overlaps as overlap_table
 
 BOOK = Book()
@@ -31,10 +31,10 @@ _SECOND = f"SELECT * FROM {_A} WHERE (flags & 2304) = 0 AND (flags & 128) <> 0 A
 
 def _mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the reads of an order one first and one second at most, so that names pair them."""
-    t = alignments(spark, sf_dir)
+    t = alignments(spark, sf_dir, *item_order())
     first = G.has(F.col("flags"), "READ1")
     primary = t.filter(~G.has(F.col("flags"), "SECONDARY", "SUPPLEMENTARY"))
-    best = primary.groupBy("name", first.alias("one")).agg(F.min_by(F.struct(*t.columns), F.col("rank")).alias("_r")).select("_r.*")
+    best = primary.groupBy("name", first.alias("one")).agg(F.min_by(F.struct(*t.drop(*ORDER).columns), F.struct(*ORDER)).alias("_r")).select("_r.*")
     return best
 
 

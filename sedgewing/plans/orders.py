@@ -9,7 +9,7 @@ from sedgewing.functions import coords, names
 from sedgewing.operators import folds, ordered, overlaps
 from sedgewing.operators.skew import spread
 from sedgewing.plans import Book
-from sedgewing.plans.tables import ALIGNMENTS_SQL, OVERLAPS_SQL, alignments, table
+from sedgewing.plans.tables import ALIGNMENTS_SQL, ORDER, OVERLAPS_SQL, alignments, item_order, table
 from sedgewing.plans.tables import overlaps as overlap_table
 
 BOOK = Book()
@@ -24,12 +24,12 @@ def natural_sort_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(f"SELECT rank, ref_id, pos FROM {_A} ORDER BY CASE WHEN ref_id < 0 THEN 4294967296 + ref_id ELSE ref_id END, pos, rank LIMIT 500")
 def coord_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignments(spark, sf_dir).select("rank", "ref_id", "pos").orderBy(*coords.coordinate_key(F.col("ref_id"), F.col("pos")), "rank").limit(500)
+    return alignments(spark, sf_dir, *item_order()).orderBy(*coords.coordinate_key(F.col("ref_id"), F.col("pos")), *ORDER).select("rank", "ref_id", "pos").limit(500)
 
 
 @BOOK.add(f"SELECT rank FROM {_A} ORDER BY CAST(substr(name, 2) AS BIGINT), CASE WHEN (flags & 64) <> 0 THEN 0 ELSE 1 END, flags & 2304, rank LIMIT 300")
 def name_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignments(spark, sf_dir).orderBy(*names.name_order(F.col("name"), F.col("flags")), "rank").select("rank").limit(300)
+    return alignments(spark, sf_dir, *item_order()).orderBy(*names.name_order(F.col("name"), F.col("flags")), *ORDER).select("rank").limit(300)
 
 
 @BOOK.add("SELECT count_if(p > o_orderdate) = 0 AS is_sorted, CAST(count_if(p > o_orderdate) AS BIGINT) AS falls FROM (SELECT o_orderdate, lag(o_orderdate) OVER (ORDER BY o_orderkey) AS p FROM orders)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedgewing.operators import dedup
 from sedgewing.plans import Book
-from sedgewing.plans.tables import ALIGNMENTS_SQL, alignments, table
+from sedgewing.plans.tables import ALIGNMENTS_SQL, ORDER, alignments, item_order, table
 
 BOOK = Book()
 
@@ -27,7 +27,7 @@ def dedup_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alignments(spark, sf_dir).withColumn("tag", F.col("mapq").cast("long") % 4)
+    rows = alignments(spark, sf_dir, *item_order()).withColumn("tag", F.col("mapq").cast("long") % 4)
     return dedup.read_ends(rows).withColumn("is_pair", F.col("flags").bitwiseAND(32) == 0)
 
 
@@ -46,12 +46,12 @@ def read_end_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT rank, is_pair, NOT is_pair AND (bool_or(is_pair) OVER w OR row_number() OVER (PARTITION BY lib, tag, ref1, orient, is_pair ORDER BY score DESC, rank) > 1) AS is_dup
     FROM ({_KEYED}) WINDOW w AS (PARTITION BY lib, tag, ref1, orient)""")
 def frag_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.mark_fragments(_keyed(spark, sf_dir), index="rank", keys=["lib", "tag", "ref1", "orient"]).select("rank", "is_pair", "is_dup")
+    return dedup.mark_fragments(_keyed(spark, sf_dir), index="rank", keys=["lib", "tag", "ref1", "orient"], order=ORDER).select("rank", "is_pair", "is_dup")
 
 
 @BOOK.add(f"SELECT rank, row_number() OVER (PARTITION BY lib, tag, ref1, coord1, orient ORDER BY score DESC, rank) > 1 AS is_dup FROM ({_KEYED})")
 def pair_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.mark_pairs(_keyed(spark, sf_dir), index="rank", keys=dedup.FRAGMENT_KEY).select("rank", "is_dup")
+    return dedup.mark_pairs(_keyed(spark, sf_dir), index="rank", keys=dedup.FRAGMENT_KEY, order=ORDER).select("rank", "is_dup")
 
 
 _TILED = "SELECT l_suppkey AS lib, l_linenumber - 1 AS tile, CAST(l_partkey * 3 AS BIGINT) AS x, CAST(l_quantity * 40 AS BIGINT) AS y, l_orderkey AS o, l_linenumber AS n"
@@ -61,7 +61,7 @@ def _tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sedgewing.plans.tables import item_number
 
     t = table(spark, sf_dir, "lineitem")
-    return t.select(item_number().alias("idx1"), F.col("l_suppkey").alias("lib"), F.lit(0).alias("rg"), (F.col("l_linenumber") - 1).alias("tile"), (F.col("l_partkey") * 3).alias("x"), (F.col("l_quantity") * 40).cast("long").alias("y"))
+    return t.select(item_number().alias("idx1"), F.struct(*item_order()).alias("place"), F.col("l_suppkey").alias("lib"), F.lit(0).alias("rg"), (F.col("l_linenumber") - 1).alias("tile"), (F.col("l_partkey") * 3).alias("x"), (F.col("l_quantity") * 40).cast("long").alias("y"))
 
 
 def _optical_sql() -> str:
@@ -75,12 +75,12 @@ def _optical_sql() -> str:
 
 @BOOK.add(_optical_sql())
 def optical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.mark_optical(_tiled(spark, sf_dir), 100, ["lib"]).select("idx1", "is_optical")
+    return dedup.mark_optical(_tiled(spark, sf_dir), 100, ["lib"], "place").select("idx1", "is_optical")
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(spark, sf_dir)
-    marked = dedup.mark_pairs(rows, index="rank", keys=["lib", "tag", "ref1", "orient", "mapq"])
+    marked = dedup.mark_pairs(rows, index="rank", keys=["lib", "tag", "ref1", "orient", "mapq"], order=ORDER)
     return dedup.metrics(marked.withColumns({"is_optical": F.col("score") % 7 == 0, "is_unmapped": F.col("flags").bitwiseAND(4) != 0}))
 
 

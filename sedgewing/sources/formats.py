@@ -62,18 +62,18 @@ def write(df: DataFrame, kind: str, path: str, references: list[tuple[str, int]]
         raise ValueError(f"no sink of the name {kind}")
 
 
-def merged(parts: list[DataFrame], order: str) -> DataFrame:
-    """Several inputs as one: by ``coordinate`` (ties by input), by ``name``, or one after the other (``concat``)."""
+def merged(parts: list[DataFrame], order: str, ties: tuple[str, ...] = ("rank",)) -> DataFrame:
+    """Several inputs as one: by ``coordinate`` (ties by input, then by ``ties``), by ``name``, or one after the other (``concat``)."""
     out = None
     for i, p in enumerate(parts):
         p = p.withColumn("input", F.lit(i))
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     if order == "coordinate":
-        return out.orderBy(*coords.coordinate_key(F.col("ref_id"), F.col("pos")), "input", "rank")
+        return out.orderBy(*coords.coordinate_key(F.col("ref_id"), F.col("pos")), "input", *ties)
     if order == "name":
         return out.orderBy(*names.name_order(F.col("name"), F.col("flags")))
     if order == "concat":
-        return out.orderBy("input", "rank")
+        return out.orderBy("input", *ties)
     raise ValueError(order)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sedgewing import scratch
 from sedgewing.functions import arithmetic, coords, numbers
 from sedgewing.operators import aligners, clustering, folds, graph, kmers, overlaps, pileup, textindex
-from sedgewing.plans import aggregates, tables
+from sedgewing.plans import aggregates, joins, tables
 
 
 def test_item_numbers_beyond_63_bits(spark):
@@ -230,3 +230,22 @@ def test_unique_overlaps_are_dealt_by_their_number(spark, monkeypatch):
     assert {tuple(r)[:7]: r["diffs"] for r in got.collect()} == least and got.rdd.getNumPartitions() == 30
     whole = overlaps.unique(df).collect()
     assert {tuple(r)[:7]: r["diffs"] for r in whole} == least and all(tuple(r) in rows for r in whole)
+
+
+def test_ties_go_by_the_exact_number_beyond_63_bits(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice([7, 1_801_439, 1_801_440, 3_602_879, 9_000_000]), rng.randrange(1_200_000), rng.randrange(60_000), rng.randrange(1, 4), float(rng.randrange(1, 51))) for _ in range(300)]
+    df = spark.createDataFrame([(*r, 1.0, 0.0, "A", "F") for r in rows], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string")
+    exact = sorted((((o * 8 + n) * 1_000_000 + p) * 10_000 + s) * 64 + int(q) for o, p, s, n, q in rows)
+    wrapped = [(x + (1 << 63)) % (1 << 64) - (1 << 63) for x in exact]
+    got = [r[0] for r in df.orderBy(*tables.item_order()).select(tables.item_number()).collect()]
+    assert got == wrapped and got != sorted(got)
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    least = {}
+    for o, p, s, n, q in rows:
+        if n < 3:
+            x = (((o * 8 + n) * 1_000_000 + p) * 10_000 + s) * 64 + int(q)
+            least[o, n % 2] = min(least.get((o, n % 2), x), x)
+    pairs = joins.mate_pairs(spark, str(tmp_path)).collect()
+    want = {(f"r{o}", k): wrapped[exact.index(x)] for (o, k), x in least.items()}
+    assert {(r["name"], k): v for r in pairs for k, v in ((1, r["rank1"]), (0, r["rank2"])) if v is not None} == want
