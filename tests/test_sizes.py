@@ -299,3 +299,15 @@ def test_equal_cigars_are_coded_once():
     data = bam.file_of(iter([row] * 500), [])
     assert {r[8:] for r in [(*x[:13], str(x[13]), x[14]) for x in bam.records(data)]} == {(-1, -1, 0, "ACGTNNRY=", "*", "[]", None)}
     assert bam._cigar_bytes.cache_info().misses == bam._cigar_text.cache_info().misses == 1
+
+
+def test_cigars_of_items_beyond_63_bits(spark, tmp_path):
+    d = _items(spark, tmp_path)
+    lengths, texts = {}, {}
+    for x in ITEMS:
+        e = _elements(*x)
+        ref, hard = _of(e, "=XD"), _of(e, "H")
+        lengths[_shown(*x)] = (_of(e, "S=IX"), ref, x[3], hard, x[3], 0, 0, hard, ref, 0)
+        texts[_shown(*x)] = ("".join(f"{k}{op}" for k, op in e), "".join(op * k for k, op in e if op in "=IXD"), True)
+    assert {r["rank"]: tuple(r)[1:] for r in columns.cigar_lengths(spark, d).collect()} == lengths
+    assert {r["rank"]: tuple(r)[1:] for r in columns.cigar_text(spark, d).collect()} == texts
