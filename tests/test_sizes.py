@@ -311,3 +311,17 @@ def test_cigars_of_items_beyond_63_bits(spark, tmp_path):
         texts[_shown(*x)] = ("".join(f"{k}{op}" for k, op in e), "".join(op * k for k, op in e if op in "=IXD"), True)
     assert {r["rank"]: tuple(r)[1:] for r in columns.cigar_lengths(spark, d).collect()} == lengths
     assert {r["rank"]: tuple(r)[1:] for r in columns.cigar_text(spark, d).collect()} == texts
+
+
+def test_bins_of_items_beyond_63_bits(spark, tmp_path):
+    d = _items(spark, tmp_path)
+    firsts = [(29, 0), (26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)]
+    smallest, lists = {}, {}
+    for x in ITEMS:
+        b = x[1] * 350
+        last = b + int(x[4]) * 1000 - 1
+        smallest[_shown(*x)] = next(f + (b >> k) for k, f in reversed(firsts) if b >> k == last >> k)
+        last = b + int(x[4]) * 10_000 - 1
+        lists[_shown(*x)] = (sum((last >> k) - (b >> k) + 1 for k, _ in firsts), 4681 + (last >> 14))
+    assert {r["rank"]: r["bin"] for r in columns.genomic_bins(spark, d).collect()} == smallest
+    assert {r["rank"]: tuple(r)[1:] for r in columns.genomic_bin_lists(spark, d).collect()} == lists
