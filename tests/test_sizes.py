@@ -325,3 +325,10 @@ def test_bins_of_items_beyond_63_bits(spark, tmp_path):
         lists[_shown(*x)] = (sum((last >> k) - (b >> k) + 1 for k, _ in firsts), 4681 + (last >> 14))
     assert {r["rank"]: r["bin"] for r in columns.genomic_bins(spark, d).collect()} == smallest
     assert {r["rank"]: tuple(r)[1:] for r in columns.genomic_bin_lists(spark, d).collect()} == lists
+
+
+def test_difference_of_items_beyond_63_bits(spark, tmp_path):
+    # lines 7 and 1 have no other of their supplier: their spans stay whole
+    day = 19_723
+    got = {r["id"]: tuple(r) for r in joins.interval_difference(spark, _items(spark, tmp_path)).collect()}
+    assert got == {_shown(*x): (x[2], _shown(*x), day, day + int(x[4])) for x in ITEMS if x[3] % 2}
