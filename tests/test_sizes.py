@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from sedgewing import scratch
@@ -332,3 +334,30 @@ def test_difference_of_items_beyond_63_bits(spark, tmp_path):
     day = 19_723
     got = {r["id"]: tuple(r) for r in joins.interval_difference(spark, _items(spark, tmp_path)).collect()}
     assert got == {_shown(*x): (x[2], _shown(*x), day, day + int(x[4])) for x in ITEMS if x[3] % 2}
+
+
+def test_wrapped_numbers(spark):
+    rng, ends = random.Random(5), [0, 1, -1, (1 << 31) - 1, 1 << 31, 1 << 32, (1 << 63) - 1, -(1 << 63)]
+    rows = [(a, b) for a in ends for b in ends] + [(rng.randrange(-(1 << 63), 1 << 63), rng.randrange(-(1 << 63), 1 << 63)) for _ in range(200)] + [(None, 1)]
+    wrapped = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    factors = (0, 1, 625, 9_765_625, (1 << 31) - 1)
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", arithmetic.wrapped_sum(a, b, a, b, b), *[arithmetic.wrapped_times(a, k) for k in factors])
+    assert [tuple(r)[2:] for r in got.collect()] == [(wrapped(2 * a + 3 * b), *[wrapped(a * k) for k in factors]) if a is not None else (None,) * 6 for a, b in rows]
+
+
+def test_item_numbers_of_wide_keys(spark):
+    rng, top = random.Random(6), (1 << 63) - 1
+    rows = [(top, top, top, 2**31 - 1, 50.0), (-top - 1, -top - 1, -top - 1, 1, 1.0), (59 << 32, 1, 1, 7, 2.0)] + [(rng.randrange(1 << rng.randrange(1, 64)), rng.randrange(1 << rng.randrange(1, 64)), rng.randrange(1 << rng.randrange(1, 64)), rng.randrange(1, 8), float(rng.randrange(1, 51))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    assert [r[0] for r in df.select(tables.item_number()).collect()] == [_shown(*x) for x in rows]
+
+
+#: As ITEMS, with order keys beyond 118 thousand million.
+WIDE = [(59 << 32, 5, 6, 2, 3.0), (1 << 45, 5, 7, 3, 3.0), ((1 << 60) + 9, 1_200_000, 60_000, 7, 50.0), (120 * 10**9, 7, 11, 1, 50.0), (3, 4, 5, 1, 2.0)]
+
+
+@pytest.mark.parametrize("check", [test_cigars_of_items_beyond_63_bits, test_bins_of_items_beyond_63_bits, test_difference_of_items_beyond_63_bits])
+def test_queries_of_wide_order_keys(spark, tmp_path, monkeypatch, check):
+    monkeypatch.setattr(sys.modules[__name__], "ITEMS", WIDE)
+    check(spark, tmp_path)
